@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .op2_suffix import op2_suffix_dedup
+from .op8_minhash import op8_minhash_hamming
 from .op9_substring import op9_substring_dedup
 
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op8_minhash_hamming": op8_minhash_hamming,
     "op9_substring_dedup": op9_substring_dedup,
 }
 
