@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .op10_rules import op10_quality_rules
 from .op2_suffix import op2_suffix_dedup
+from .op6_packing import op6_packing
 from .op8_minhash import op8_minhash_hamming
 from .op9_substring import op9_substring_dedup
 
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op6_packing": op6_packing,
     "op8_minhash_hamming": op8_minhash_hamming,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
