@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .op10_rules import op10_quality_rules
 from .op2_suffix import op2_suffix_dedup
+from .op5_toxicity import op5_toxicity
 from .op6_packing import op6_packing
 from .op8_minhash import op8_minhash_hamming
 from .op9_substring import op9_substring_dedup
 
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op8_minhash_hamming": op8_minhash_hamming,
     "op9_substring_dedup": op9_substring_dedup,
