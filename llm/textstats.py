@@ -156,3 +156,11 @@ class Stats:
         start, end, first = self.cut
         last = self.raw[end - 1]
         return per_row(SYMBOL[last] | (last == 0x21), first)
+
+    def get_n_stutter(self):
+        """Words equal to the word before them in their row."""
+        same = np.zeros(len(self.codes), bool)
+        same[1:] = self.codes[1:] == self.codes[:-1]
+        first = self.cut[2]
+        same[first[:-1][first[:-1] < len(same)]] = False
+        return per_row(same, first)
