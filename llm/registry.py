@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .op10_rules import op10_quality_rules
 from .op2_suffix import op2_suffix_dedup
+from .op3_decontaminate import op3_decontamination
 from .op4_quality import op4_quality_rules
 from .op5_toxicity import op5_toxicity
 from .op6_packing import op6_packing
@@ -12,6 +13,7 @@ from .op9_substring import op9_substring_dedup
 
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_decontamination": op3_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
