@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import op7_secrets
+from . import op1_licenses, op7_secrets
+from .op1_licenses import op1_license_scan
 from .op10_rules import op10_quality_rules
 from .op2_suffix import op2_suffix_dedup
 from .op3_decontaminate import op3_decontamination
@@ -14,6 +15,7 @@ from .op8_minhash import op8_minhash_hamming
 from .op9_substring import op9_substring_dedup
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_quality_rules": op4_quality_rules,
@@ -26,5 +28,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": op1_licenses.ORACLE,
     "op7_secret_scan": op7_secrets.ORACLE,
 }
