@@ -71,3 +71,25 @@ def text_of(column: str = "text") -> Column:
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id's text, modulo n: fixed folds.  A null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+#: Rows of ids that may be sent to every executor: 16 MB at most.
+SMALL = 1_000_000
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """A written table of ids with a broadcast hint if a count shows that it is small; else joins shuffle it."""
+    return F.broadcast(ids) if ids.count() <= SMALL else ids
+
+
+def without(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id isn't among ids.doc_id; rows without one stay."""
+    gone = small(written(ids.select(F.col("doc_id").alias("gone_")).where("gone_ is not null").distinct(), "gone"))
+    return df.join(gone, df["doc_id"] == gone["gone_"], "left_anti")
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """A column name that differs from all others."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name

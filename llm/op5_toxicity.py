@@ -179,26 +179,40 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = 0,
     return terms, [float(w[0]), max(0.0, float(w[1])), rho]
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = 0, sample: int = SAMPLE, keep: bool = False) -> DataFrame:
-    """score, predicted and the terms found for each document; with keep, behind all of its own columns."""
+def _scores(texts: pa.Array, scorer: Scorer, bias: float, weight: float, rho: float) -> tuple[np.ndarray, list[list[str]]]:
+    got = [scorer.hits(t or "") for t in texts.to_pylist()]
+    hits = np.array([e + rho * m for e, m, _ in got], float)
+    return 1 / (1 + np.exp(-(bias + weight * saturated(hits)))), [g[2] for g in got]
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = 0, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, score, predicted and the terms found, for each document."""
     terms, (bias, weight, rho) = train(docs, labels, folds, held, sample)
-    kinds = [("score", pa.float64()), ("predicted", pa.int32()), ("terms", pa.list_(pa.string()))]
-    given = [c for c in docs.columns if c not in dict(kinds)] if keep else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(terms)
         for whole in batches:
             for a in range(0, len(whole), 1000):
                 batch = whole.slice(a, 1000)
-                got = [scorer.hits(t or "") for t in batch.column("_text").to_pylist()]
-                hits = np.array([e + rho * m for e, m, _ in got], float)
-                score = 1 / (1 + np.exp(-(bias + weight * saturated(hits))))
-                own = [batch.column(c) for c in given]
-                yield pa.record_batch([*own, pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array([g[2] for g in got], pa.list_(pa.string()))], names=[*given, *(k for k, _ in kinds)])
-
-    out = docs.select(*given, F.col("text").alias("_text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name != "_text"] + ["score double", "predicted int", "terms array<string>"])
-    return out.mapInArrow(run, schema)
+                score, found = _scores(batch.column(1), scorer, bias, weight, rho)
+                yield pa.record_batch([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "score", "predicted", "terms"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int, terms array<string>")
+
+
+def not_toxic(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = 0, sample: int = SAMPLE) -> DataFrame:
+    """The documents whose score is under 0.5, with all of their columns."""
+    terms, (bias, weight, rho) = train(docs, labels, folds, held, sample)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(terms)
+        for whole in batches:
+            for a in range(0, len(whole), 1000):
+                batch = whole.slice(a, 1000)
+                yield batch.filter(pa.array(_scores(batch.column(at), scorer, bias, weight, rho)[0] < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, written
+from .common import SMALL, fresh, load, written
 
 SCOPE = 256
 
@@ -67,10 +67,10 @@ def places(text: Column, pattern: str, group: int, least: int) -> Column:
 
 
 def parts_table(docs: DataFrame) -> DataFrame:
-    """One narrow row for each document: rid (names the row), doc_id, and an array of places for each kind."""
+    """One narrow row for each document: rid (names the row), doc_id, text_hash, and an array of places for each kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
     columns = [places(text, *spec).alias(kind) for kind, spec in (BASE | WEAK).items()]
-    return written(docs.select("doc_id", "text").select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), *columns), "parts")
+    return written(docs.select("doc_id", "text").select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), *columns), "parts")
 
 
 def _exploded(parts: DataFrame, kind: str) -> DataFrame:
@@ -105,13 +105,41 @@ def _joined(spans: Column) -> Column:
 
 
 def secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """doc_id, an array of places for each base kind, links (weak parts with complements), base_spans and spans as text."""
+    """doc_id, text_hash, an array of places for each base kind, links (weak parts with complements), base_spans and spans as text."""
     parts = parts_table(docs)
     more = linked(parts, scope).groupBy("rid").agg(F.collect_set(F.struct("s", F.when(F.col("kind") == "key", 3).otherwise(4).alias("k"), "e")).alias("links"))
     tagged = F.concat(*(F.expr(f"transform({kind}, x -> struct(x.s AS s, {k} AS k, x.e AS e))") for k, kind in enumerate(BASE)))
     out = parts.join(more, "rid", "left").withColumn("tagged", tagged)
     links = F.coalesce("links", F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)"))
-    return out.select("doc_id", *BASE, links.alias("links"), _joined(F.col("tagged")).alias("base_spans"), _joined(F.concat("tagged", links)).alias("spans"))
+    return out.select("doc_id", "text_hash", *BASE, links.alias("links"), _joined(F.col("tagged")).alias("base_spans"), _joined(F.concat("tagged", links)).alias("spans"))
+
+
+def redacted(docs: DataFrame, scope: int = SCOPE, mark: str = "[SECRET]") -> DataFrame:
+    """The documents with their columns; every reported span of a text is replaced by the mark.
+
+    Spans are brought back to the texts by id and text hash, so rows that share an id do not mix.
+    """
+    every = F.concat(*(F.expr(f"transform({kind}, x -> struct(x.s AS s, x.e AS e))") for kind in BASE), F.expr("transform(links, x -> struct(x.s AS s, x.e AS e))"))
+    found = secrets(docs, scope).select("doc_id", "text_hash", F.array_sort(every).alias("spans")).where(F.size("spans") > 0)
+    found = found.groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"))
+    names = {c: fresh(docs.columns, f"{c}_found") for c in ("doc_id", "text_hash", "spans")}
+    found = written(found.select(*(F.col(c).alias(n) for c, n in names.items())), "spans")
+    if found.count() <= SMALL // 20:
+        found = F.broadcast(found)
+    here = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    both = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found[names["doc_id"]]) & (here == found[names["text_hash"]]), "left")
+
+    def cut(acc, x):
+        at, out = acc["at"], acc["out"]
+        more = F.struct(x["e"].alias("at"), F.concat(out, F.when(x["s"] >= at, F.concat(F.substring(F.col("text"), at + 1, x["s"] - at), F.lit(mark))).otherwise("")).alias("out"))
+        return F.when(x["e"] > at, more).otherwise(acc)
+
+    done = F.aggregate(names["spans"], F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut)
+    text = F.when(F.col(names["spans"]).isNull(), F.col("text")).otherwise(F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text"))))
+    out = both.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(names["spans"]).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
