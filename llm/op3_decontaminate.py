@@ -13,7 +13,9 @@
    items of a block, so that no pair leaves a task unverified.
 4. A candidate counts if the longest common subsequence with the item, over the
    passage and its surroundings, holds enough of the item's words, and if the
-   answer check passes: the item's rarest words occur there too.
+   answer check passes: most of the item's rarest words occur there too.  As no
+   match can do without, passages that cannot pass the answer check of any
+   item are not projected at all.
 
 Bound: the benchmark's texts go to every task, at most BLOCK items at once;
 larger benchmarks are worked off in blocks.  Nothing else is collected that
@@ -37,7 +39,7 @@ from .common import load, ship, written
 from .textscan import LOWER, NON_ALNUM, pieces, span_hashes, text_bytes, words
 
 BLOCK, RANK, STEP, SPAN = 5000, 128, 16, 3
-COSINE, COMMON, ANSWER = 0.35, 0.0025, 5
+COSINE, COMMON, ANSWER = 0.35, 0.0003, 5
 SUBSEQUENCE = 0.6
 
 
@@ -97,9 +99,21 @@ def _rows(batch: pa.RecordBatch, kind: str, most: int = 400_000) -> Iterator[tup
         yield data, np.concatenate([[0], np.cumsum(sizes[a:b])]), a
 
 
-def _cells(data: np.ndarray, first: np.ndarray, weight: np.ndarray, step: int, span: int):
+def _hopeful(data: np.ndarray, first: np.ndarray, telling: np.ndarray, needed: int, reach: int, step: int, span: int) -> np.ndarray:
+    """Windows that can pass the answer check: one of the items' answer words inside, enough of them within reach."""
+    seen = np.concatenate([[0], np.cumsum(telling[data])])
+    blocks = -(-np.diff(first) // step)
+    base = np.concatenate([[0], np.cumsum(blocks)])
+    doc = np.repeat(np.arange(len(blocks)), blocks)
+    a = first[doc] + (np.arange(base[-1]) - base[doc]) * step
+    b = np.minimum(a + step * span, first[doc + 1])
+    low, high = np.maximum(a - reach, first[doc]), np.minimum(b + reach, first[doc + 1])
+    return (seen[b] > seen[a]) & (seen[high] - seen[low] >= needed)
+
+
+def _cells(data: np.ndarray, first: np.ndarray, weight: np.ndarray, step: int, span: int, wanted: np.ndarray | None = None):
     """The sparse TF-IDF matrix of all windows of `span` blocks of `step` words: rows, columns, values;
-    and each window's document and first word.  Windows without a weighted word are left out."""
+    and each window's document and first word.  Windows without a weighted word, or not wanted, are left out."""
     size = np.diff(first)
     where = np.flatnonzero(weight[data] > 0)
     doc = np.searchsorted(first, where, side="right") - 1
@@ -113,6 +127,9 @@ def _cells(data: np.ndarray, first: np.ndarray, weight: np.ndarray, step: int, s
         rows.append((base[doc] + block - back)[ok])
         columns.append(data[where][ok])
     row, column = np.concatenate(rows), np.concatenate(columns)
+    if wanted is not None:
+        ok = wanted[row]
+        row, column = row[ok], column[ok]
     key, count = np.unique(row * len(weight) + column, return_counts=True)
     row, column = key // len(weight), key % len(weight)
     names, row = np.unique(row, return_inverse=True)
@@ -169,18 +186,21 @@ def weights(held: DataFrame, items: Items, kind: str, step: int, span: int, comm
     return np.where(keep, idf, 0.0)
 
 
-def latent_space(held: DataFrame, kind: str, weight: np.ndarray, rank: int, step: int, span: int, seed: int = 11) -> np.ndarray:
-    """Right singular vectors (words x rank) of the passages' TF-IDF matrix: a randomised range finder, one pass."""
+def latent_space(held: DataFrame, items: Items, kind: str, weight: np.ndarray, rank: int, size: int, seed: int = 11) -> np.ndarray:
+    """Right singular vectors (words x rank) of the TF-IDF matrix of all passages of `size` words: a randomised range
+    finder, one pass.  The items are passages too; they are scaled to the weight of all others together, so
+    that the space can tell them apart."""
     m, wide = len(weight), rank + 16
     omega = np.random.default_rng(seed).standard_normal((m, wide)).astype(np.float32) * (weight > 0)[:, None]
     rows_a_block = 256
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((m, wide), np.float32)
+        total, energy = np.zeros((m, wide), np.float32), 0.0
         for batch in batches:
             for data, first, _ in _rows(batch, kind):
-                row, column, value, n, _, _ = _cells(data, first, weight, step, span)
+                row, column, value, n, _, _ = _cells(data, first, weight, size, 1)
                 if n:
+                    energy += float((value**2).sum())
                     out = _times(row, column, value, n, omega)
                     order = np.argsort(column, kind="stable")
                     some, back = np.unique(column[order], return_inverse=True)
@@ -189,15 +209,25 @@ def latent_space(held: DataFrame, kind: str, weight: np.ndarray, rank: int, step
             part = total[b : b + rows_a_block]
             if part.any():
                 yield pa.record_batch({"block": pa.array([b], pa.int64()), "part": pa.array([part.tobytes()], pa.binary())})
+        yield pa.record_batch({"block": pa.array([-1], pa.int64()), "part": pa.array([np.float32(energy).tobytes()], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table["part"].to_pylist())
         return pa.table({"block": table["block"].slice(0, 1), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-    y = np.zeros((m, wide))
+    y, energy = np.zeros((m, wide)), 0.0
     # (words of the benchmark) x (rank + 16) numbers, whatever the documents.
     for block, part in held.mapInArrow(sketch, "block long, part binary").groupBy("block").applyInArrow(add, "block long, part binary").collect():
-        y[block : block + rows_a_block] = np.frombuffer(part, np.float32).reshape(-1, wide)
+        if block < 0:
+            energy = float(np.frombuffer(part, np.float32)[0])
+        else:
+            y[block : block + rows_a_block] = np.frombuffer(part, np.float32).reshape(-1, wide)
+    row, column, value = _item_cells(items, weight)
+    if len(row):
+        value = value * np.sqrt(max(energy, 1.0) / (value**2).sum())
+        out = np.zeros((len(items.ids), wide))
+        np.add.at(out, row, omega[column] * value[:, None])
+        np.add.at(y, column, out[row] * value[:, None])
     q, _ = np.linalg.qr(y)
     # Of the projected Gram matrix, from the same pass: S (Q'O) = Q'Y.
     s = np.linalg.lstsq((q.T @ omega).T, (q.T @ y).T, rcond=None)[0].T
@@ -227,12 +257,16 @@ def _matches(held: DataFrame, items: Items, kind: str, weight: np.ndarray, space
     answers = [set(np.unique(w)[np.argsort(-weight[np.unique(w)], kind="stable")[:ANSWER]].tolist()) for w in items.words]
     listed = [w.tolist() for w in items.words]
     reach = max((len(w) for w in listed), default=0)
+    needed = min((len(a) // 2 + 1 for a in answers if a), default=1)
+    telling = np.zeros(len(weight), np.int64)
+    telling[np.array([w for a in answers for w in a], np.int64)] = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[], [], [], [], []]
             for data, first, base in _rows(batch, kind):
-                row, column, value, n, owner, word = _cells(data, first, weight, step, span)
+                wanted = _hopeful(data, first, telling, needed, reach, step, span)
+                row, column, value, n, owner, word = _cells(data, first, weight, step, span, wanted)
                 if not n:
                     continue
                 passages = _unit(_times(row, column, value, n, space))
@@ -253,7 +287,6 @@ def _matches(held: DataFrame, items: Items, kind: str, weight: np.ndarray, space
                         c.append(v)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    assert reach < 1 << 20
     return held.select("doc_id", "numbers").mapInArrow(run, "doc_id long, item_id long, word long, cosine double, common double")
 
 
@@ -269,7 +302,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, step:
         kind = "<u2" if len(items.known) < (1 << 16) - 1 else "<u4"
         held = written(numbered(docs, items), "numbered")
         weight = weights(held, items, kind, step, span, common)
-        space = latent_space(held, kind, weight, min(rank, max(1, len(items.known))), step, span)
+        space = latent_space(held, items, kind, weight, min(rank, max(1, len(items.known))), step * span)
         return _matches(held, items, kind, weight, space, step, span, cosine, subsequence)
 
     for r in rows.toLocalIterator():
