@@ -64,11 +64,14 @@ def in_order_share(needle: Column, haystack: Column) -> Column:
 def quote_tier(quote: Column, page: Column, fuzzy: float) -> Column:
     """exact, normalized, fuzzy, or null: how a quote stands on a page."""
     flat_quote, flat_page = normal_space(quote), normal_space(page)
+    needle, hay = words(flat_quote), words(flat_page)
+    # Without enough common words the walk cannot succeed, and needn't be made.
+    shared = F.size(F.array_intersect(needle, hay)) + F.size(needle) - F.size(F.array_distinct(needle))
     return (
         F.when(F.btrim(quote) == "", None)
         .when(page.contains(strip(quote)), "exact")
         .when(flat_page.contains(flat_quote), "normalized")
-        .when(in_order_share(words(flat_quote), words(flat_page)) >= fuzzy, "fuzzy")
+        .when((shared >= F.size(needle) * fuzzy) & (in_order_share(needle, hay) >= fuzzy), "fuzzy")
     )
 
 

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 #: A model takes a prompt and returns JSON text; it raises if it can't.
 Model = Callable[[str], str]
 
@@ -68,6 +70,7 @@ class Cascade:
 
 def extract(prompts: DataFrame, cascade: Callable[[], Cascade]) -> DataFrame:
     """doc_id, batch, answer, model_used, attempts; a prompt that no model answers yields a null answer, not an error."""
+    ship(prompts.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = cascade()
@@ -85,6 +88,7 @@ def extraction_stats(answers: DataFrame) -> DataFrame:
 
 def embed(terms: DataFrame, cache: DataFrame, model: Callable[[list[str]], list[list[float]]], size: int = 64) -> DataFrame:
     """term, vector: cached vectors, and the model's for the rest, asked in batches."""
+    ship(terms.sparkSession)
     new = terms.select("term").distinct().join(cache, "term", "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

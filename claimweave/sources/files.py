@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import file_id
+from ..runtime import ship
 
 #: A parser takes a file's path and bytes and yields (page number, text, blocks, tables as (headers, rows)).
 Parser = Callable[[str, bytes], Iterator[tuple[int, str, list[str], list[tuple[list[str], list[list[str]]]]]]]
@@ -78,6 +79,7 @@ def read_pages(spark: SparkSession, path: str, parser: Parser = plain_text, **op
 
 def parse_pages(files: DataFrame, parser: Parser) -> DataFrame:
     """Pages from rows of (doc_id, path, content)."""
+    ship(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
