@@ -64,8 +64,7 @@ class Lexicon:
     def _step(self, state: int, c: str) -> int:
         pairs = set()
         for node, errors in self.sets[state]:
-            if node or errors:
-                pairs.add((node, errors + 1))
+            pairs.add((node, errors + 1))
             for x, child in self.children[node].items():
                 pairs.add((child, errors + (x != c)))
         to = self._state(pairs)
@@ -73,7 +72,7 @@ class Lexicon:
         return to
 
     def match(self, word: str) -> tuple[int, str] | None:
-        """The least distance to an entry, and that entry.  The first character must stand."""
+        """The least distance to an entry, and that entry."""
         state, best = self.start, None
         steps, stems = self.steps, self.stem
         for c in word:

@@ -152,6 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HE
     if len(set(y.tolist())) < 2:
         return (4.0 if len(y) and y[0] else 0.0), []
     rules = extract_rules(x, y)
+    if not rules:
+        return float(np.log(y.mean() / (1 - y.mean()))), []
     z = np.stack([holds(x, r) for r in rules], 1).astype(float)
     _, one = np.unique(z, axis=1, return_index=True)  # rules that hold for the same rows: the first
     one = np.sort(one)
