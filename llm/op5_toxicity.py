@@ -19,6 +19,7 @@ as toxic if either label says so.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,8 +104,8 @@ class Scorer:
         hit = self.known[token] = self.lexicon.match(bare(token))
         return hit
 
-    def hits(self, text: str) -> tuple[float, float, list[str]]:
-        """Sums over hits of their context's weight, exact and misspelled, and the terms."""
+    def hits(self, text: str) -> tuple[float, dict[str, float], list[str]]:
+        """Sums over hits of their context's weight, exact ones and misspelled ones by term, and the terms."""
         tokens = text.split()
         known, look_up = self.known, self.look_up
         none = 0
@@ -115,11 +116,11 @@ class Scorer:
                 hit = look_up(t)
             if hit is not None:
                 found.append((k, hit))
-        exact = wrong = 0.0
-        for k, (errors, _) in found:
+        exact, wrong = 0.0, {}
+        for k, (errors, term) in found:
             weight = QUOTED if self.quoted(tokens, k) else 1.0
             if errors:
-                wrong += weight
+                wrong[term] = wrong.get(term, 0.0) + weight
             else:
                 exact += weight
         return exact, wrong, sorted({term for _, (_, term) in found})
@@ -133,11 +134,20 @@ class Scorer:
         return (opens and closes) or any(bare(t) in REPORTING for t in before)
 
 
-def trust(exact: np.ndarray, wrong: np.ndarray, y: np.ndarray) -> float:
-    """What a misspelled hit counts against an exact one: the share of toxic rows among those with
-    misspelled hits alone, with four rows of a share of 0.8 added."""
-    alone = (wrong > 0) & (exact == 0)
-    return float((y[alone].sum() + 3.2) / (alone.sum() + 4))
+def trust(exact: list[float], wrong: list[dict[str, float]], y: list[float]) -> dict[str, float]:
+    """What a term's misspelled hits count against exact ones: the share of toxic rows among those that have them
+    and no exact hit, with four rows of a share of 0.8 added.  A term that clean words come close to counts little."""
+    rows, toxic = Counter(), Counter()
+    for e, w, label in zip(exact, wrong, y, strict=True):
+        if not e:
+            rows.update(w.keys())
+            if label:
+                toxic.update(w.keys())
+    return {term: (toxic[term] + 3.2) / (n + 4) for term, n in rows.items()}
+
+
+def total(exact: float, wrong: dict[str, float], rho: dict[str, float]) -> float:
+    return exact + sum(weight * rho.get(term, 0.8) for term, weight in wrong.items())
 
 
 def saturated(hits):
@@ -157,31 +167,34 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = 0, sample: int = SAMPLE) -> tuple[list[tuple[str, bool]], list[float]]:
-    """The lexicon; the model's bias and weight, and what a misspelled hit counts."""
+def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = 0, sample: int = SAMPLE) -> tuple[list[tuple[str, bool]], tuple[float, float, dict[str, float]]]:
+    """The lexicon; the model's bias and weight, and what misspelled hits of each term count."""
     ship(docs.sparkSession)
     rows = labelled(docs, labels, "toxic", folds, held, sample)
     terms = learn_lexicon(rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(terms)
+        kinds = pa.map_(pa.string(), pa.float64())
         for batch in batches:
             got = [scorer.hits(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.record_batch({"e": pa.array([g[0] for g in got], pa.float64()), "m": pa.array([g[1] for g in got], pa.float64()), "y": batch.column("y")})
+            yield pa.record_batch([pa.array([g[0] for g in got], pa.float64()), pa.array([list(g[1].items()) for g in got], kinds), batch.column("y")], names=["e", "m", "y"])
 
-    found = np.array([tuple(r) for r in rows.mapInArrow(count, "e double, m double, y int").collect()], float).reshape(-1, 3)
-    if not terms or len(set(found[:, 2])) < 2:
-        return [], [-4.0, 8.0, 0.8]
-    exact, wrong, y = found.T
+    # At most `sample` rows, each with at most a number for each term.
+    found = rows.mapInArrow(count, "e double, m map<string,double>, y int").collect()
+    exact, wrong, y = [r[0] for r in found], [r[1] for r in found], [float(r[2]) for r in found]
+    if not terms or len(set(y)) < 2:
+        return [], (-4.0, 8.0, {})
     rho = trust(exact, wrong, y)
-    w = fit_logistic(np.stack([np.ones(len(y)), saturated(exact + rho * wrong)], 1), y)
+    hits = np.array([total(e, w, rho) for e, w in zip(exact, wrong, strict=True)])
+    w = fit_logistic(np.stack([np.ones(len(y)), saturated(hits)], 1), np.array(y))
     # A hit is never a sign of a clean text.
-    return terms, [float(w[0]), max(0.0, float(w[1])), rho]
+    return terms, (float(w[0]), max(0.0, float(w[1])), rho)
 
 
-def _scores(texts: pa.Array, scorer: Scorer, bias: float, weight: float, rho: float) -> tuple[np.ndarray, list[list[str]]]:
+def _scores(texts: pa.Array, scorer: Scorer, bias: float, weight: float, rho: dict[str, float]) -> tuple[np.ndarray, list[list[str]]]:
     got = [scorer.hits(t or "") for t in texts.to_pylist()]
-    hits = np.array([e + rho * m for e, m, _ in got], float)
+    hits = np.array([total(e, m, rho) for e, m, _ in got], float)
     return 1 / (1 + np.exp(-(bias + weight * saturated(hits)))), [g[2] for g in got]
 
 
