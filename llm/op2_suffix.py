@@ -73,7 +73,8 @@ def _scan(raw: np.ndarray, rows: np.ndarray, width: int, gram: int):
     whole = mix((total[last + width] - total[first]) * back[first] + size * U64(0x9E3779B97F4A7C15))
     # The place of the sample in the run is part of the identifier.
     whole = mix(whole ^ (sample[first] - first).astype(U64))
-    return first, last, grams[sample[first]], whole, lambda at: mix((total[at + width] - total[at]) * back[at])
+    # Samples are least hashes and so far from even; mixed once more, they fill all buckets alike.
+    return first, last, mix(grams[sample[first]] ^ U64(0x5851F42D4C957F2D)), whole, lambda at: mix((total[at + width] - total[at]) * back[at])
 
 
 class _Group:
