@@ -35,9 +35,10 @@ def period_key(text: Column) -> Column:
     return F.when(text != "", F.when(base.isNotNull(), F.concat_ws(" ", base, part)).otherwise(s))
 
 
-def same_period(a: Column, b: Column) -> Column:
-    """Equal keys; a missing period equals only a missing one."""
-    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(period_key(a).eqNullSafe(period_key(b)))
+def same_period(a: Column, b: Column, key_a: Column | None = None, key_b: Column | None = None) -> Column:
+    """Equal keys; a missing period equals only a missing one.  Keys made beforehand save making them for each pair."""
+    keys = (period_key(a) if key_a is None else key_a).eqNullSafe(period_key(b) if key_b is None else key_b)
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(keys)
 
 
 def standard_predicate(name: Column) -> Column:
@@ -87,13 +88,23 @@ def dimensions_compatible(a: Column, b: Column) -> Column:
     return (a == b) | (a == "other") | (b == "other")
 
 
+def condition_parts(text: Column) -> Column:
+    """What a comparison of conditions needs, once for each fact: the text, whether it rules out unconditioned values,
+    and on which side of each exclusive pair it stands (a bit for each pair)."""
+    low = F.lower(strip(text))
+    has = lambda words: any_of([low.contains(w) for w in words])
+    bits = lambda side: reduce(Column.__add__, [F.when(has(pair[side]), 1 << k).otherwise(0) for k, pair in enumerate(EXCLUSIVE)])
+    return F.when(text.isNotNull(), F.struct(low.alias("text"), has(ONE_SIDED).alias("marked"), bits(0).alias("left"), bits(1).alias("right")))
+
+
+def compatible_parts(a: Column, b: Column) -> Column:
+    """Whether two conditions may describe one metric, from their parts."""
+    clash = (a["left"].bitwiseAND(b["right"]) != 0) | (a["right"].bitwiseAND(b["left"]) != 0)
+    return F.when(a.isNull() & b.isNull(), True).when(a.isNull(), ~b["marked"]).when(b.isNull(), ~a["marked"]).when(a["text"] == b["text"], True).otherwise(~clash)
+
+
 def conditions_compatible(a: Column, b: Column) -> Column:
-    """Whether two conditions may describe one metric."""
-    one = F.lower(strip(F.coalesce(a, b, F.lit(""))))
-    x, y = F.lower(strip(a)), F.lower(strip(b))
-    has = lambda s, words: any_of([s.contains(w) for w in words])
-    clash = any_of([(has(x, left) & has(y, right)) | (has(x, right) & has(y, left)) for left, right in EXCLUSIVE])
-    return F.when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), ~has(one, ONE_SIDED)).when(x == y, True).otherwise(~clash)
+    return compatible_parts(condition_parts(a), condition_parts(b))
 
 
 def authority(filename: Column) -> Column:
