@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import corpus as c
 import corpus_pipeline as p
-from test_operators import groups
+from test_llm_operators import groups
 
 from llm.common import written
 
