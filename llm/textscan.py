@@ -77,7 +77,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def pieces(sizes: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def pieces(sizes: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Cut rows into consecutive runs of about `most` bytes; a longer row stands alone."""
     first, held = 0, 0
     for k, n in enumerate(sizes.tolist()):
