@@ -56,8 +56,11 @@ def text_size(df: DataFrame) -> int:
 
 
 def groups_for(df: DataFrame, most: int = GROUP_BYTES) -> int:
-    """How many groups of about `most` bytes the input needs; grows with it, 4 at least."""
-    return max(4, min(1 << 20, -(-text_size(df) // most)))
+    """How many groups the input needs: of about `most` bytes, or smaller ones if there are tasks to spare, but not
+    under a tenth of that, since groups exchange blocks with one another."""
+    size = text_size(df)
+    spare = min(shuffle_partitions(df.sparkSession), -(-size // (most // 10)))
+    return max(4, spare, min(1 << 20, -(-size // most)))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
