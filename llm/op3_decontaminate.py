@@ -56,7 +56,13 @@ class Items:
     """A block of benchmark items as word numbers; 0 is any word that no item has."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
-        (codes, first), *_ = [*_codes(pa.array(texts, pa.string()))] or [(np.zeros(0, np.uint64), np.zeros(1, np.int64))]
+        codes, first = np.zeros(0, np.uint64), np.zeros(1, np.int64)
+        runs = [*_codes(pa.array(texts, pa.string()))]
+        if runs:
+            codes = np.concatenate([c for c, _ in runs])
+            before = np.cumsum([0, *(len(c) for c, _ in runs)])
+            # Each run counts its words from 0 and ends with their number, where the next begins.
+            first = np.concatenate([[0], *(f[1:] + n for (_, f), n in zip(runs, before[:-1], strict=True))])
         self.ids = ids
         self.known = np.unique(codes)
         numbers = np.searchsorted(self.known, codes) + 1

@@ -105,6 +105,27 @@ def test_op3_paraphrase(spark, tmp_path):
     assert list(got) == [100] and got[100][0].item_ids == [0]
 
 
+@pytest.mark.parametrize("long", [0, 1_200_000])
+def test_op3_items_over_one_run(spark, tmp_path, long):
+    import random
+
+    from llm.op3_decontaminate import Items
+
+    rnd = random.Random(7)
+    texts = [c.prose(rnd, 40) for _ in range(5_000 if not long else 6)]
+    if long:
+        texts[2] = " ".join([texts[2], "zz " * (long // 3)])
+    bench = list(enumerate(texts))
+    assert sum(len(t) for t in texts) > 1 << 20
+    held = [0, 3, 5] if long else [0, 2_500, 4_999]
+    docs = [(k, f"{c.prose(rnd, 60)} {texts[i]} {c.prose(rnd, 60)}") for k, i in enumerate(held)] + [(9, c.prose(rnd, 150))]
+    items = Items([k for k, _ in bench], texts)
+    assert [len(w) for w in items.words] == [len(t.split()) for t in texts]
+    got = run(spark, c.write(spark, tmp_path, docs=docs, bench=bench), "op3_")
+    assert all(i in got[k][0].item_ids for k, i in enumerate(held)) and 9 not in got
+
+
+
 def auc(score, y):
     order = np.argsort(score, kind="stable")
     rank = np.empty(len(score))
