@@ -10,12 +10,16 @@
    orthogonalises a matrix of (benchmark words) x (rank).
 3. Items are the queries.  Passages whose cosine to an item in the latent space
    reaches the bound are its candidates; a task compares its passages with all
-   items of a block, so that no pair leaves a task unverified.
+   items of a block, so that no pair leaves a task unverified.  Repeated words
+   count with the logarithm of their number, and items much shorter or longer
+   than a passage are compared with passages near their own length too.
 4. A candidate counts if the longest common subsequence with the item, over the
    passage and its surroundings, holds enough of the item's words, and if the
    answer check passes: most of the item's rarest words occur there too.  As no
    match can do without, passages that cannot pass the answer check of any
    item are not projected at all.
+5. All words of an item in a row are a copy, however short it is, whatever the
+   cosine: they are looked up by the item's rarest word.
 
 Bound: the benchmark's texts go to every task, at most BLOCK items at once;
 larger benchmarks are worked off in blocks.  Nothing else is collected that
@@ -36,11 +40,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load, ship, written
-from .textscan import LOWER, NON_ALNUM, pieces, span_hashes, text_bytes, words
+from .textscan import LOWER, NON_ALNUM, mix, pieces, powers, span_hashes, text_bytes, words
 
 BLOCK, RANK, STEP, SPAN = 5000, 128, 16, 3
 COSINE, COMMON, ANSWER = 0.35, 0.0003, 5
 SUBSEQUENCE = 0.6
+_NUMBER_BASE = 0xA0761D6478BD642F | 1
 
 
 def _codes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -140,7 +145,12 @@ def _cells(data: np.ndarray, first: np.ndarray, weight: np.ndarray, step: int, s
     row, column = key // len(weight), key % len(weight)
     names, row = np.unique(row, return_inverse=True)
     owner = np.searchsorted(base, names, side="right") - 1
-    return row, column, count * weight[column], len(names), owner, (names - base[owner]) * step
+    return row, column, _damped(count) * weight[column], len(names), owner, (names - base[owner]) * step
+
+
+def _damped(count: np.ndarray) -> np.ndarray:
+    """So that one word said over and over does not outweigh a passage."""
+    return 1 + np.log(count)
 
 
 def _times(row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, matrix: np.ndarray) -> np.ndarray:
@@ -163,7 +173,7 @@ def _item_cells(items: Items, weight: np.ndarray):
     item = np.repeat(np.arange(len(items.words)), [len(w) for w in items.words])
     ok = weight[data] > 0
     key, count = np.unique(item[ok] * len(weight) + data[ok], return_counts=True)
-    return key // len(weight), key % len(weight), count * weight[key % len(weight)]
+    return key // len(weight), key % len(weight), _damped(count) * weight[key % len(weight)]
 
 
 def weights(held: DataFrame, items: Items, kind: str, step: int, span: int, common: float) -> np.ndarray:
@@ -254,6 +264,55 @@ def common_subsequence(item: list[int], text: list[int]) -> int:
     return len(item) - row.bit_count()
 
 
+def _views(sizes: np.ndarray, step: int, span: int) -> list[tuple[int, np.ndarray]]:
+    """Steps of the passages and the items compared with them: all at the given size, and those of other lengths near
+    their own, by powers of two from half the size on."""
+    scale = np.round(np.log2(np.maximum(sizes, 1) / (step * span))).clip(-1).astype(np.int64)
+    other = [(max(1, int(step * 2.0**k)), np.flatnonzero((scale == k) & (sizes > 0))) for k in np.unique(scale[sizes > 0]).tolist() if k]
+    return [(step, np.arange(len(sizes))), *other]
+
+
+class Copies:
+    """Looks up whole items, word for word, by each item's rarest word."""
+
+    def __init__(self, words: list[np.ndarray], weight: np.ndarray):
+        some = [k for k, w in enumerate(words) if len(w)]
+        place = np.array([int(np.argmax(weight[words[k]])) for k in some], np.int64)
+        rare = np.array([words[k][p] for k, p in zip(some, place.tolist(), strict=True)], np.int64)
+        order = np.argsort(rare, kind="stable")
+        self.words, self.item, self.place = words, np.array(some, np.int64)[order], place[order]
+        self.size = np.array([len(words[k]) for k in some], np.int64)[order]
+        self.count = np.bincount(rare, minlength=len(weight))
+        self.begin = np.cumsum(self.count) - self.count
+        hashes = [self._sums(words[k])[-1] for k in some]
+        self.hash = np.array(hashes, np.uint64)[order]
+
+    @staticmethod
+    def _sums(data: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(mix(data.astype(np.uint64)) * powers(_NUMBER_BASE, len(data))[: len(data)], out=total[1:])
+        return total
+
+    def find(self, data: np.ndarray, first: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int, int]]:
+        """Document, item and first word of copies, one for each pair of document and item in a run of places."""
+        total, shift = self._sums(data), powers(_NUMBER_BASE, len(data))
+        where = np.flatnonzero(self.count[data])
+        for lo, hi in pieces(self.count[data[where]], most):
+            at = where[lo:hi]
+            n = self.count[data[at]]
+            entry = np.repeat(self.begin[data[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            a = np.repeat(at, n) - self.place[entry]
+            doc = np.repeat(np.searchsorted(first, at, side="right") - 1, n)
+            ok = (a >= first[doc]) & (a + self.size[entry] <= first[doc + 1])
+            a, doc, entry = a[ok], doc[ok], entry[ok]
+            ok = total[a + self.size[entry]] - total[a] == self.hash[entry] * shift[a]
+            a, doc, item = a[ok], doc[ok], self.item[entry[ok]]
+            _, one = np.unique(np.stack([doc, item]), axis=1, return_index=True)
+            for d, q, x in zip(doc[one].tolist(), item[one].tolist(), a[one].tolist(), strict=True):
+                if np.array_equal(data[x : x + len(self.words[q])], self.words[q]):
+                    yield d, q, x - int(first[d])
+
+
 def _matches(held: DataFrame, items: Items, kind: str, weight: np.ndarray, space: np.ndarray, step: int, span: int, cosine: float, subsequence: float) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("word", pa.int64()), ("cosine", pa.float64()), ("common", pa.float64())])
     row, column, value = _item_cells(items, weight)
@@ -262,32 +321,42 @@ def _matches(held: DataFrame, items: Items, kind: str, weight: np.ndarray, space
     queries = _unit(queries).astype(np.float32)
     answers = [set(np.unique(w)[np.argsort(-weight[np.unique(w)], kind="stable")[:ANSWER]].tolist()) for w in items.words]
     listed = [w.tolist() for w in items.words]
-    reach = max((len(w) for w in listed), default=0)
-    needed = min((len(a) // 2 + 1 for a in answers if a), default=1)
-    telling = np.zeros(len(weight), np.int64)
-    telling[np.array([w for a in answers for w in a], np.int64)] = 1
+    views = []
+    for pace, some in _views(np.array([len(w) for w in listed], np.int64), step, span):
+        reach = max((len(listed[q]) for q in some), default=0)
+        needed = min((len(answers[q]) // 2 + 1 for q in some if answers[q]), default=1)
+        telling = np.zeros(len(weight), np.int64)
+        telling[np.array([w for q in some for w in answers[q]], np.int64)] = 1
+        views.append((pace, some.tolist(), queries[some], telling, needed, reach))
+    copies = Copies(items.words, weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [[], [], [], [], []]
             for data, first, base in _rows(batch, kind):
-                wanted = _hopeful(data, first, telling, needed, reach, step, span)
-                row, column, value, n, owner, word = _cells(data, first, weight, step, span, wanted)
-                if not n:
-                    continue
-                passages = _unit(_times(row, column, value, n, space))
                 best: dict[tuple[int, int], tuple] = {}
-                for a in range(0, n, 2048):
-                    scores = passages[a : a + 2048] @ queries.T
-                    for p, q in zip(*(x.tolist() for x in np.nonzero(scores >= cosine)), strict=True):
-                        item, at, doc = listed[q], int(word[a + p]), int(owner[a + p])
-                        lo = max(int(first[doc]), int(first[doc]) + at - len(item))
-                        near = data[lo : min(int(first[doc + 1]), int(first[doc]) + at + step * span + len(item))].tolist()
-                        if len(answers[q] & set(near)) * 2 <= len(answers[q]):
-                            continue
-                        share = common_subsequence(item, near) / len(item)
-                        if share >= subsequence and share > best.get((doc, q), (0.0,))[0]:
-                            best[doc, q] = (share, at, float(scores[p, q]))
+                for pace, some, asked, telling, needed, reach in views:
+                    wanted = _hopeful(data, first, telling, needed, reach, pace, span)
+                    row, column, value, n, owner, word = _cells(data, first, weight, pace, span, wanted)
+                    if not n:
+                        continue
+                    passages = _unit(_times(row, column, value, n, space))
+                    for a in range(0, n, 2048):
+                        scores = passages[a : a + 2048] @ asked.T
+                        for p, k in zip(*(x.tolist() for x in np.nonzero(scores >= cosine)), strict=True):
+                            q, at, doc = some[k], int(word[a + p]), int(owner[a + p])
+                            item = listed[q]
+                            lo = max(int(first[doc]), int(first[doc]) + at - len(item))
+                            near = data[lo : min(int(first[doc + 1]), int(first[doc]) + at + pace * span + len(item))].tolist()
+                            if len(answers[q] & set(near)) * 2 <= len(answers[q]):
+                                continue
+                            share = common_subsequence(item, near) / len(item)
+                            if share >= subsequence and share > best.get((doc, q), (0.0,))[0]:
+                                best[doc, q] = (share, at, float(scores[p, k]))
+                for doc, q, at in copies.find(data, first):
+                    # A passage of the copied words alone is the item.
+                    if best.get((doc, q), (0.0,))[0] < 1:
+                        best[doc, q] = (1.0, at, 1.0)
                 for (doc, q), (share, at, cos) in best.items():
                     for c, v in zip(out, (batch.column("doc_id")[base + doc].as_py(), items.ids[q], at, cos, share), strict=True):
                         c.append(v)

@@ -105,6 +105,22 @@ def test_op3_paraphrase(spark, tmp_path):
     assert list(got) == [100] and got[100][0].item_ids == [0]
 
 
+def test_op3_copies_among_repeated_words(spark, tmp_path):
+    import random
+
+    rnd = random.Random(9)
+    bench = [(k, c.prose(rnd, n)) for k, n in enumerate([1, 3, 8, 12, 15, 18, 22, 26, 30, 400] * 4)]
+    vocabulary = sorted({w for _, t in bench for w in t.split()})
+    docs = []
+    for k, t in bench:
+        docs.append((k, " ".join([rnd.choice(vocabulary)] * 60 + t.split() + [rnd.choice(vocabulary)] * 60)))
+        docs.append((100 + k, t))
+    docs += [(200 + k, c.prose(rnd, 100)) for k in range(40)]
+    got = run(spark, c.write(spark, tmp_path, docs=docs, bench=bench), "op3_")
+    want = {i: {k for k, t in bench if f" {t} " in f" {d} "} for i, d in docs}
+    assert all(want[i] <= set(got[i][0].item_ids if i in got else []) for i in want)
+
+
 @pytest.mark.parametrize("long", [0, 1_200_000])
 def test_op3_items_over_one_run(spark, tmp_path, long):
     import random
