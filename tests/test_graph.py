@@ -44,6 +44,30 @@ def test_graph_store_and_append(spark, tmp_path):
     assert sorted(r.subject for r in out.graph.singletons.collect()) == ["Iris", "Orca"]
 
 
+def test_append_misspelled_subject(spark):
+    built = graph.build_claim_graph(facts(spark, [{"doc_id": "a", "subject": "Delhivery"}, {"doc_id": "b", "subject": "Delhivery"}, {"doc_id": "a", "subject": "Orca"}]))
+    out = append.append_document(built, facts(spark, [{"doc_id": "c", "subject": "Delhvery"}, {"doc_id": "c", "subject": "Iris"}]))
+    assert tuple(out.stats.first()) == (2, 1, 0, 1, 0)
+    assert sorted(r.subject for r in out.graph.members.collect()) == ["Delhivery", "Delhivery", "Delhvery"]
+
+
+def test_misspelled_is_lossless(spark):
+    from difflib import SequenceMatcher
+    from random import Random
+
+    from claimweave.operators.matching import misspelled
+    from claimweave.runtime import ship
+
+    ship(spark)
+
+    rnd = Random(3)
+    words = ["", "brand#11", "brand#12", "é😀é😀é", "é😀é😀"] + ["".join(rnd.choice("abc1") for _ in range(rnd.randint(1, 14))) for _ in range(120)]
+    new, known = words[::2] + ["brand#12"], words[1::2] + ["brand#11"]
+    want = {(a, b) for a in new for b in known if a != b and SequenceMatcher(None, a, b).ratio() > 0.80}
+    got = misspelled(spark.createDataFrame([(w,) for w in new], "term string"), spark.createDataFrame([(w,) for w in known], "term string"))
+    assert want and {tuple(r) for r in got.collect()} == want
+
+
 def test_guard(spark):
     rows = facts(spark, [{}, {}])
     assert graph.guarded(rows, Config(max_facts=2)).count() == 2
