@@ -35,32 +35,51 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset, one of our own."""
+    """This application's folder in spark.checkpoint.dir, which driver and executors share; it goes when the driver ends.
+
+    Where the setting is missing, a local master gets a folder of its own; on a cluster that would be one that
+    executors do not see, so it is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="llm-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    path = f"{where.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if getattr(spark.sparkContext, "_llm_folder", None) != path:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(folder)
+        system.deleteOnExit(folder)
+        spark.sparkContext._llm_folder = path
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here and survives a lost executor."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._llm_path = path
+    return out
+
 
+def drop(df: DataFrame) -> None:
+    """Delete a written table that nothing will read again."""
+    spark, path = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._llm_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-def text_size(df: DataFrame) -> int:
-    """Bytes that the plan's statistics give for its input, times two for compressed files."""
-    return 2 * int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
+def group_bytes(size: int, partitions: int, most: int = GROUP_BYTES) -> int:
+    """Bytes of text for one group of documents, of `size` in all.
 
-def groups_for(df: DataFrame, most: int = GROUP_BYTES) -> int:
-    """How many groups the input needs: of about `most` bytes, or smaller ones if there are tasks to spare, but not
-    under a tenth of that, since groups exchange blocks with one another."""
-    size = text_size(df)
-    spare = min(shuffle_partitions(df.sparkSession), -(-size // (most // 10)))
-    return max(4, spare, min(1 << 20, -(-size // most)))
+    About `most`, or less if there are tasks to spare, but not under a tenth of that, since groups exchange
+    blocks with one another.  From most**2 / 1024 on (about 100 GB) groups grow with the square root of the
+    input, so that the number of blocks, groups times buckets, stays at one for each KB at most.
+    """
+    spare = max(most // 10, min(most, -(-size // max(1, partitions))))
+    return max(spare, int((size * 1024) ** 0.5) if size * 1024 > most**2 else 0)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -1,53 +1,85 @@
 """Which keys occurred earlier?  A two-way shuffle of sorted key blocks.
 
-Documents are dealt into groups by ranges of doc_id, so that group numbers follow
-document order.  Each group sends its *distinct* keys once, sorted and
-delta-coded, in one block for each bucket of the key space.  A bucket's task
-sees every group's block and returns one bit for each key: set if a group with a
-smaller number has it too.  A key that a third of all documents share is sent
-once by each group, so no task depends on how often a key occurs.
+Documents are dealt into groups by ranges of doc_id that hold about as many bytes
+each, so that group numbers follow document order.  Each group sends its
+*distinct* keys once, sorted and delta-coded, in one block for each bucket of the
+key space.  A bucket's task sees every group's block and returns some bits for each
+key.  A key that a third of all documents share is sent once by each group, so no
+task depends on how often a key occurs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import groups_for, ship
+from .common import GROUP_BYTES, group_bytes, ship, shuffle_partitions, written
 from .textscan import U64
 
 KEYS = T.StructType([T.StructField("bid", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("level", T.IntegerType()), T.StructField("block", T.BinaryType())])
-_ARROW_KEYS = pa.schema([("bid", pa.int32()), ("bucket", pa.int32()), ("level", pa.int32()), ("block", pa.binary())])
+ARROW_KEYS = pa.schema([("bid", pa.int32()), ("bucket", pa.int32()), ("level", pa.int32()), ("block", pa.binary())])
+_ORDER = ["o", "d", "h"]  # without an id, id, hash of the text
 
 
-def by_range(docs: DataFrame, columns: list[str], groups: int | None = None) -> tuple[DataFrame, int]:
-    """Add bid, a group number that grows with doc_id, and deal the rows out by it.
+def _cuts(sizes: DataFrame, target: int, parts: int) -> list[tuple[int, int, int]]:
+    """Where groups begin, the first aside: rows (o, d, h) such that each group has about `target` bytes or is one key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, out = 0, None, []
+        for batch in batches:
+            for o, d, h, n in zip(*(batch.column(c).to_pylist() for c in ("o", "d", "h", "n")), strict=True):
+                if last is None or (held + n > target and (o, d, h) != last):
+                    out.append((o, d, h))
+                    held = 0
+                held, last = held + n, (o, d, h)
+        if out:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True)], names=_ORDER)
+
+    ranged = sizes.repartitionByRange(parts, *_ORDER).sortWithinPartitions(*_ORDER)
+    # One row for each `target` bytes of text, and for each partition.
+    return sorted(tuple(r) for r in ranged.mapInArrow(run, "o int, d long, h long").collect())[1:]
+
+
+def _number(cuts: list[tuple[int, int, int]], own: list[Column]) -> Column:
+    """How many cuts are at or below a row's key: a binary search in arrays that the plan holds once."""
+    if not cuts:
+        return F.lit(0)
+    o, d, h = (F.split(F.lit(",".join(map(str, c))), ",").cast("array<bigint>") for c in zip(*cuts, strict=True))
+
+    def step(acc: Column, jump: Column) -> Column:
+        at = acc + jump
+        k = F.least(at, F.lit(len(cuts))) - 1
+        below = (F.get(o, k) < own[0]) | ((F.get(o, k) == own[0]) & ((F.get(d, k) < own[1]) | ((F.get(d, k) == own[1]) & (F.get(h, k) <= own[2]))))
+        return F.when((at <= len(cuts)) & below, at).otherwise(acc)
+
+    jumps = [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
+    return F.aggregate(F.array(*map(F.lit, jumps)), F.lit(0), step)
 
-    Rows without an id come last, spread over as many groups by their text's hash.
-    """
-    ship(docs.sparkSession)
-    n = groups or groups_for(docs)
-    cuts = sorted(set(docs.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
-    cuts = [int(c) for c in cuts]
-
-    spread = F.lit(len(cuts) + 1).cast("int") + F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")
-    bid = F.when(F.col("doc_id").isNull(), spread).otherwise(_tree(cuts, 0, len(cuts)))
-    kept = docs.select(bid.alias("bid"), *columns)
-    return kept.repartition(n, "bid"), n
 
+def by_range(docs: DataFrame, most: int = GROUP_BYTES) -> tuple[DataFrame, int]:
+    """bid, doc_id, text, h, dealt out by bid, a group number that grows with doc_id; and how many there may be.
 
-def _tree(cuts: list[int], low: int, high: int):
-    """Binary search as nested conditions: how many cuts are at or below doc_id."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(F.col("doc_id") < F.lit(cuts[mid]), _tree(cuts, low, mid)).otherwise(_tree(cuts, mid + 1, high))
+    Rows without an id come last.  Rows of one id are ordered by a hash of their text, so that an id that many rows
+    share is spread over groups like any others; only rows equal in both, or one long text, may exceed a group's size.
+    Sizes are summed over the texts themselves, whatever the plan's statistics say.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    own = [F.col("doc_id").isNull().cast("int"), F.coalesce("doc_id", F.lit(0)).cast("long"), F.col("h")]
+    sizes = written(rows.select(*(c.alias(n) for n, c in zip(_ORDER, own, strict=True)), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")), "sizes")
+    total, count = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    target = group_bytes(total, shuffle_partitions(spark), most)
+    cuts = _cuts(sizes, target, max(1, -(-count // 1_000_000)))
+    n = len(cuts) + 1
+    kept = rows.select(_number(cuts, own).cast("int").alias("bid"), "doc_id", "text", "h")
+    return kept.repartition(n, "bid"), n
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -61,9 +93,20 @@ def pack(keys: np.ndarray) -> bytes:
     return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def unpack(block: bytes) -> np.ndarray:
-    planes = np.frombuffer(block, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(U64).ravel())
+def unpack(block: bytes, extra: np.dtype | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """A block's keys, and what goes with each."""
+    n = len(block) // (8 + (extra.itemsize if extra else 0))
+    planes = np.frombuffer(block, np.uint8, 8 * n).reshape(8, -1)
+    keys = np.cumsum(np.ascontiguousarray(planes.T).view(U64).ravel())
+    return keys, np.frombuffer(block, extra, n, 8 * n) if extra else None
+
+
+def unpack_all(blocks: list[bytes], extra: np.dtype | None = None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """The keys of all blocks one after the other, what goes with them, and where each block begins."""
+    parts = [unpack(b, extra) for b in blocks]
+    keys = np.concatenate([np.zeros(0, U64), *(k for k, _ in parts)])
+    more = np.concatenate([np.zeros(0, extra), *(x for _, x in parts)]) if extra else None
+    return keys, more, np.cumsum([0, *(len(k) for k, _ in parts)])
 
 
 def cut_points(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -77,7 +120,7 @@ def key_blocks(bid: int, keys: np.ndarray, buckets: int, level: int = 0, extra:
     full = np.flatnonzero(np.diff(at))
     blocks = [pack(keys[at[b] : at[b + 1]]) + (extra[at[b] : at[b + 1]].tobytes() if extra is not None else b"") for b in full]
     n = len(full)
-    return pa.table({"bid": pa.array(np.full(n, bid, np.int32)), "bucket": pa.array(full.astype(np.int32)), "level": pa.array(np.full(n, level, np.int32)), "block": pa.array(blocks, pa.binary())}, schema=_ARROW_KEYS)
+    return pa.table({"bid": pa.array(np.full(n, bid, np.int32)), "bucket": pa.array(full.astype(np.int32)), "level": pa.array(np.full(n, level, np.int32)), "block": pa.array(blocks, pa.binary())}, schema=ARROW_KEYS)
 
 
 def answer(blocks: DataFrame, decide: Callable, buckets: int) -> DataFrame:
@@ -88,22 +131,14 @@ def answer(blocks: DataFrame, decide: Callable, buckets: int) -> DataFrame:
         order = np.argsort(bids, kind="stable")
         blocks = table["block"].to_pylist()
         replies = decide([blocks[k] for k in order])
-        return pa.table({"bid": pa.array(bids[order]), "bucket": table["bucket"].take(pa.array(order)), "level": table["level"].take(pa.array(order)), "block": pa.array(replies, pa.binary())}, schema=_ARROW_KEYS)
+        return pa.table({"bid": pa.array(bids[order]), "bucket": table["bucket"].take(pa.array(order)), "level": table["level"].take(pa.array(order)), "block": pa.array(replies, pa.binary())}, schema=ARROW_KEYS)
 
     return blocks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(bucket, KEYS)
 
 
-def seen_earlier(blocks: list[bytes]) -> list[bytes]:
-    """For each block a bit for each key: an earlier block has that key."""
-    keys = [unpack(b) for b in blocks]
-    sizes = [len(k) for k in keys]
-    every = np.concatenate(keys) if keys else np.zeros(0, U64)
-    order = np.argsort(every, kind="stable")
-    ranked = every[order]
-    later = np.zeros(len(every), bool)
-    later[order[1:]] = ranked[1:] == ranked[:-1]
-    at = np.cumsum([0, *sizes])
-    return [np.packbits(later[at[k] : at[k + 1]]).tobytes() for k in range(len(keys))]
+def packed_bits(bits: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """One row of bits for each key, cut into blocks."""
+    return [np.packbits(bits[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def read_bits(replies: pa.Table, keys: np.ndarray, buckets: int, level: int = 0, per_key: int = 1) -> np.ndarray:
@@ -118,6 +153,19 @@ def read_bits(replies: pa.Table, keys: np.ndarray, buckets: int, level: int = 0,
 
 
 def in_order(table: pa.Table) -> pa.Table:
-    """Rows by doc_id, null last, ties by text: the same order each time a group is built."""
+    """Rows by doc_id, null last, ties by hash and text: the same order each time a group is built."""
     texts = table["text"].fill_null("")
-    return table.take(pa.compute.sort_indices(table.set_column(table.schema.get_field_index("text"), "text", texts), sort_keys=[("doc_id", "ascending"), ("text", "ascending")], null_placement="at_end"))
+    table = table.set_column(table.schema.get_field_index("text"), "text", texts)
+    return table.take(pa.compute.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("h", "ascending"), ("text", "ascending")], null_placement="at_end"))
+
+
+def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each run of true flags, and the place behind its last."""
+    edge = np.diff(flags.astype(np.int8), prepend=0, append=0)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def covered(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in one of the half-open intervals."""
+    change = np.bincount(first, minlength=n + 1)[: n + 1] - np.bincount(last, minlength=n + 1)[: n + 1]
+    return np.cumsum(change[:n]) > 0

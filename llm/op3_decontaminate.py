@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load, ship, written
-from .textscan import LOWER, NON_ALNUM, mix, pieces, powers, span_hashes, text_bytes, words
+from .textscan import LOWER, NON_ALNUM, mix, pieces, span_hashes, text_bytes, words
 
 BLOCK, RANK, STEP, SPAN = 5000, 128, 16, 3
 COSINE, COMMON, ANSWER = 0.35, 0.0003, 5
@@ -48,6 +48,26 @@ SUBSEQUENCE = 0.6
 _NUMBER_BASE = 0xA0761D6478BD642F | 1
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**0 ... base**n modulo 2**64; kept and grown by doubling."""
+    have = _POWERS.get(base)
+    if have is None or len(have) <= n:
+        size = max(1024, 1 << int(n + 1).bit_length())
+        have = np.empty(size, np.uint64)
+        have[0] = 1
+        done = 1
+        while done < size:
+            step = np.uint64(pow(base, done, 1 << 64))
+            take = min(done, size - done)
+            have[done : done + take] = have[:take] * step
+            done += take
+        _POWERS[base] = have
+    return have[: n + 1]
+
+
 def _codes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Word hashes and each row's first word, for runs of rows."""
     raw, at = text_bytes(texts)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import load, ship, shuffle_partitions, written
 from .components import components
-from .textscan import LOWER, U64, inside_rows, mix, pieces, span_hashes, text_bytes, window_hashes, words
+from .textscan import LOWER, U64, inside_rows, mix, pieces, span_hashes, text_bytes, windows, words
 
 VALUES, CHUNKS, DISTANCE = 36, 9, 17
 BLOCK = 1500
@@ -64,14 +64,14 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[list[np.ndarray]]:
         start, end, first = words(part, rows)
         codes = span_hashes(part, start, end)
         ok = inside_rows(first, size)
-        hashes = window_hashes(codes, size) & _LOW48
+        hashes = windows(codes, size) & _LOW48
         sets = []
         for row in range(b - a):
             lo, hi = int(first[row]), int(first[row + 1])
             if hi - lo >= size:
                 sets.append(np.unique(hashes[lo : hi - size + 1]))
             elif hi > lo:
-                sets.append(mix(window_hashes(codes[lo:hi], hi - lo) + U64(hi - lo)) & _LOW48)
+                sets.append(mix(windows(codes[lo:hi], hi - lo) + U64(hi - lo)) & _LOW48)
             else:
                 sets.append(np.zeros(0, U64))
         del ok

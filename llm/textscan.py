@@ -1,8 +1,11 @@
-"""Vectorised scanning of text columns: byte buffers, word boundaries, window hashes.
+"""Vectorised scanning of text columns: byte buffers, word boundaries, identifiers of words and windows.
 
 Everything works on whole Arrow batches with numpy, so Python never loops over
-characters or words.  Hashes are 64-bit polynomials over random byte codes,
-finished by a mixing step; they are the same in every process and on every run.
+characters or words.  Identifiers are 64-bit and the same in every process and on
+every run.  A word's is made of its bytes, eight at a time, each eight mixed with
+its place; a window's by doubling: that of 2q codes from those of the q codes at
+both its offsets.  Neither is a polynomial, so no pattern of letters or words
+makes two of them meet.
 """
 
 from __future__ import annotations
@@ -13,12 +16,6 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
-_WORD_BASE = 0xD6E8FEB86659FD93 | 1
-_WORD_INV = pow(_WORD_BASE, -1, 1 << 64)
-_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-
 #: Space and the five control characters that separate words: \x20 and \x09-\x0D.
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -39,24 +36,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_POWERS: dict[int, np.ndarray] = {}
+_PAIR = ((U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)), (U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)))
+
+
+def pair(a: np.ndarray, b: np.ndarray, lane: int = 0) -> np.ndarray:
+    """An identifier of two identifiers in order; lanes are independent of one another."""
+    first, second = _PAIR[lane]
+    x = a * first
+    x += b
+    y = x >> U64(32)
+    x ^= y
+    x *= second
+    np.right_shift(x, U64(29), out=y)
+    x ^= y
+    return x
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**n modulo 2**64; kept and grown by doubling."""
-    have = _POWERS.get(base)
-    if have is None or len(have) <= n:
-        size = max(1024, 1 << int(n + 1).bit_length())
-        have = np.empty(size, U64)
-        have[0] = 1
-        done = 1
-        while done < size:
-            step = U64(pow(base, done, 1 << 64))
-            take = min(done, size - done)
-            have[done : done + take] = have[:take] * step
-            done += take
-        _POWERS[base] = have
-    return have[: n + 1]
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as a number, zeros behind the end: an unaligned view of a copy."""
+    held = np.zeros(len(raw) + 8, np.uint8)
+    held[: len(raw)] = raw
+    return np.ndarray((len(raw),), "<u8", held, strides=(1,))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,21 +106,35 @@ def words(raw: np.ndarray, at: np.ndarray, apart: np.ndarray = BLANK) -> tuple[n
     return start, end, np.searchsorted(start, at)
 
 
-def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span."""
-    total = np.zeros(len(raw) + 1, U64)
-    np.cumsum(_CODES[raw] * powers(_BASE, len(raw))[: len(raw)], out=total[1:])
-    return mix((total[end] - total[start]) * powers(_INV, len(raw))[start] + (end - start).astype(U64))
+_SHORT = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], U64)
+_SIZE, _PLACE = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span (not empty); lanes are independent of one another."""
+    wide, size, factor = eights(raw), end - start, _PAIR[lane][0]
+    out = mix((wide[start] & _SHORT[np.minimum(size, 8)]) * factor + size.astype(U64) * _SIZE)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) // 8  # further eights
+        begin = np.cumsum(more) - more
+        nth = np.arange(1, int(more.sum()) + 1) - np.repeat(begin, more)
+        at = np.repeat(start[long], more) + 8 * nth
+        rest = (wide[at] & _SHORT[np.minimum(np.repeat(end[long], more) - at, 8)]) * factor + nth.astype(U64) * _PLACE
+        out[long] = mix(out[long] * factor + np.add.reduceat(mix(rest), begin))
+    return out
 
 
-def window_hashes(codes: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of every k consecutive codes; position i covers codes i to i + k - 1."""
+def windows(codes: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
+    """An identifier of every k consecutive codes, by doubling; position i covers codes i to i + k - 1."""
     n = len(codes)
     if n < k:
         return np.zeros(0, U64)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(codes * powers(_WORD_BASE, n)[:n], out=total[1:])
-    return mix((total[k:] - total[:-k]) * powers(_WORD_INV, n)[: n - k + 1])
+    held, size = codes, 1
+    while size * 2 <= k:
+        held = pair(held[:-size], held[size:], lane)
+        size *= 2
+    return held if size == k else pair(held[: n - k + 1], held[k - size : n - size + 1], lane)
 
 
 def inside_rows(first: np.ndarray, k: int) -> np.ndarray:

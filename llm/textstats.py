@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .textscan import BLANK, NON_ALNUM, U64, inside_rows, mix, span_hashes, window_hashes, words
+from .textscan import BLANK, NON_ALNUM, U64, inside_rows, mix, span_hashes, windows, words
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -27,7 +27,7 @@ def repeated_window_words(codes: np.ndarray, first: np.ndarray, k: int = 3) -> n
         return np.zeros(len(first) - 1, np.int64)
     where = np.flatnonzero(inside_rows(first, k))
     row = np.searchsorted(first, where, side="right") - 1
-    keys = mix(window_hashes(codes, k)[where] ^ mix(row.astype(U64) + U64(1)))
+    keys = mix(windows(codes, k)[where] ^ mix(row.astype(U64) + U64(1)))
     order = np.argsort(keys)
     ranked = keys[order]
     same = ranked[1:] == ranked[:-1]
