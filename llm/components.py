@@ -1,9 +1,11 @@
 """Connected components of a link table, in Spark: alternating large-star and small-star steps.
 
-A hot node is no problem: least neighbours come from a groupBy with partial sums,
-and the join that brings them back is one that Spark splits when it is skewed.
-Every step's table is written to the shared folder, so lineage stays short and a
-lost executor costs one step.  Only two numbers of each round reach the driver.
+Least neighbours come from a groupBy with partial sums.  The join that brings them
+back is split: the few nodes with over a thousandth of all links, a thousand at
+most, are broadcast, so that a hot node's links stay in the tasks where they are;
+all others are shuffled.  Every step's table is written to the shared folder, so
+lineage stays short and a lost executor costs one step; the step before it is
+deleted.  Only two numbers of each round reach the driver.
 """
 
 from __future__ import annotations
@@ -11,23 +13,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop, written
+
+
+def split_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """many joined with the row that `one` has for its key; keys that over a thousandth of `total` rows share, by
+    counts (key, n), are broadcast, a thousand rows at most by that bound."""
+    heavy = F.broadcast(counts.where(F.col("n") > max(1000, total // 1000)).select(key))
+    hot = many.join(F.broadcast(one.join(heavy, key, "left_semi")), key)
+    return hot.unionByName(many.join(heavy, key, "left_anti").join(one, key, how))
 
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _step(edges: DataFrame, total: int) -> DataFrame:
+    """One large-star and one small-star step over links with u > v."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+    far = split_join(both.where("v > u"), least.select("u", "m"), "u", least.select("u", "n"), 2 * total)
+    large = far.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    near = split_join(down, least.select("u", "m"), "u", least.select("u", "n"), total)
+    moved = near.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -36,7 +46,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = _mark(now)
     for _ in range(most if mark[0] else 0):
-        now = written(_small_star(_large_star(now)), "links")
+        last, now = now, written(_step(now, mark[0]), "links")
+        drop(last)
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -12,14 +12,26 @@
 3. A bucket emits a spanning forest of its pairs within the distance, not its
    pairs; a bucket over BLOCK rows emits a star.  Components of these edges are
    candidate groups; they are supersets of the true ones.
-4. In each candidate group the full sets are compared exactly, in blocks of at
-   most BLOCK members and pairs of blocks; each emits a spanning forest of the
-   confirmed links, and their components are the result.
+4. In each candidate group the full sets are compared exactly.  A group that fits
+   into a block, by members and by shingles, is one comparison.  A larger one is
+   dealt into blocks; each block's confirmed links make components, and one member of
+   each is dealt again and compared with those of other blocks, until that joins
+   little more.  Then only members outside of the group's largest component are
+   compared with all members, block by block: links within a component add nothing,
+   so none between different components is lost.  A group of near copies is thus sent
+   a few times, not once for each block.
+5. Each comparison emits a spanning forest of its links; their components are the
+   result.
+
+Shingles are 64-bit identifiers of whole word sequences, classes of equal sets are
+told apart by 128 bits.  Sets of one text are held whole, so a very long text needs
+some 100 bytes of one task's memory for each of its words.
 
 Defined results: null or blank texts have an empty set and link with nothing;
-texts with fewer words than a shingle have their whole sequence as one shingle.
-Rows of equal text share a class whatever their ids; a null doc_id counts as
-larger than any other.  Only doc_id and text are read.
+texts with fewer words than a shingle have their whole sequence as one shingle; an
+empty table gives no rows.  Rows of equal text share a class whatever their ids; a
+null doc_id counts as larger than any other.  A similarity just at the bound links.
+Only doc_id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -30,51 +42,46 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import load, ship, shuffle_partitions, written
-from .components import components
-from .textscan import LOWER, U64, inside_rows, mix, pieces, span_hashes, text_bytes, windows, words
+from .components import components, split_join
+from .textscan import LOWER, U64, mix, pieces, span_hashes, text_bytes, windows, words
 
 VALUES, CHUNKS, DISTANCE = 36, 9, 17
-BLOCK = 1500
-_LOW48 = U64((1 << 48) - 1)
+#: Members of a block at most, and their shingles on average.
+BLOCK, SHINGLES = 1500, 2_000_000
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * U64(2) + U64(1)
 
 
-def _pack48(values: np.ndarray) -> bytes:
-    """Sorted 48-bit values as differences, a plane for each byte."""
+def _pack(values: np.ndarray) -> bytes:
+    """Sorted values as differences, a plane for each byte."""
     gaps = np.diff(values, prepend=U64(0))
-    return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+    return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def _unpack48(block: bytes) -> np.ndarray:
-    planes = np.frombuffer(block, np.uint8).reshape(6, -1)
-    wide = np.zeros((planes.shape[1], 8), np.uint8)
-    wide[:, :6] = planes.T
-    return np.cumsum(wide.view(U64).ravel())
+def _unpack(block: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(block, np.uint8).reshape(8, -1).T).view(U64).ravel())
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[list[np.ndarray]]:
-    """For runs of rows, each row's sorted set of 48-bit shingle hashes."""
+    """For runs of rows, each row's sorted set of shingle identifiers."""
     raw, at = text_bytes(column)
     for a, b in pieces(np.diff(at)):
         part, rows = LOWER[raw[at[a] : at[b]]], at[a : b + 1] - at[a]
         start, end, first = words(part, rows)
         codes = span_hashes(part, start, end)
-        ok = inside_rows(first, size)
-        hashes = windows(codes, size) & _LOW48
+        hashes = windows(codes, size)
         sets = []
         for row in range(b - a):
             lo, hi = int(first[row]), int(first[row + 1])
             if hi - lo >= size:
                 sets.append(np.unique(hashes[lo : hi - size + 1]))
             elif hi > lo:
-                sets.append(mix(windows(codes[lo:hi], hi - lo) + U64(hi - lo)) & _LOW48)
+                sets.append(mix(windows(codes[lo:hi], hi - lo) + U64(hi - lo)))
             else:
                 sets.append(np.zeros(0, U64))
-        del ok
         yield sets
 
 
@@ -91,9 +98,9 @@ def signatures(sets: list[np.ndarray], values: int = VALUES) -> np.ndarray:
 
 
 def shingle_table(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, cid (class of equal sets; null if empty), signature, shingles."""
+    """doc_id, n_shingles, cid and check (128 bits of the class of equal sets; null if empty), signature, shingles."""
     ship(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cid", pa.int64()), ("signature", pa.binary()), ("shingles", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cid", pa.int64()), ("check", pa.int64()), ("signature", pa.binary()), ("shingles", pa.binary())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,19 +108,19 @@ def shingle_table(docs: DataFrame, size: int) -> DataFrame:
             for sets in shingle_sets(batch.column(1), size):
                 some = [s for s in sets if len(s)]
                 sigs = iter(signatures(some)) if some else iter(())
-                rows = [[], [], [], []]
+                rows = [[], [], [], [], []]
                 for s in sets:
                     if len(s):
-                        cid = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
-                        row = (len(s), cid, next(sigs).tobytes(), _pack48(s))
+                        name = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist()
+                        row = (len(s), *name, next(sigs).tobytes(), _pack(s))
                     else:
-                        row = (0, None, None, None)
+                        row = (0, None, None, None, None)
                     for c, v in zip(rows, row, strict=True):
                         c.append(v)
                 yield pa.record_batch([batch.column(0).slice(done, len(sets)), *(pa.array(c, f.type) for c, f in zip(rows, list(schema)[1:], strict=True))], schema=schema)
                 done += len(sets)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, n_shingles long, cid long, signature binary, shingles binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, n_shingles long, cid long, check long, signature binary, shingles binary")
 
 
 def _keys(classes: DataFrame, chunks: int, distance: int) -> DataFrame:
@@ -211,7 +218,7 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch], distance: int, block: int)
 
 
 def confirmed(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None, columns: int = 4096) -> np.ndarray:
-    """Which pairs of sets have 100 * intersection >= percent * union; with `left`, only pairs of a left and another."""
+    """Which pairs of sets have 100 * intersection >= percent * union; with `left`, only pairs that have one of these."""
     n = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(n), size)
@@ -230,7 +237,7 @@ def confirmed(sets: list[np.ndarray], percent: int, left: np.ndarray | None = No
     inter = np.rint(inter).astype(np.int64)
     near = 100 * inter >= percent * (size[:, None] + size[None, :] - inter)
     if left is not None:
-        near &= left[:, None] != left[None, :]
+        near &= left[:, None] | left[None, :]
     np.fill_diagonal(near, True)
     return near
 
@@ -239,52 +246,118 @@ def _confirm(table: pa.Table, percent: int) -> pa.Table:
     """Links of one task's groups: those between two blocks, or those within one."""
     out = []
     gid, bi, bj = (table[c].to_numpy() for c in ("gid", "bi", "bj"))
-    order = np.lexsort((bj, bi, gid))
     cids, own, sets = table["cid"].to_numpy(), table["block"].to_numpy(), table["shingles"]
+    order = np.lexsort((-own, bj, bi, gid))
     cut = np.flatnonzero((np.diff(gid[order]) != 0) | (np.diff(bi[order]) != 0) | (np.diff(bj[order]) != 0)) + 1
     for rows in np.split(order, cut):
+        # A member that stands on both sides counts on the first.
         _, one = np.unique(cids[rows], return_index=True)
         rows = rows[one]
         if len(rows) < 2:
             continue
-        apart = bi[rows[0]] != bj[rows[0]]
-        near = confirmed([_unpack48(sets[int(r)].as_py()) for r in rows], percent, own[rows] == bi[rows[0]] if apart else None)
+        near = confirmed([_unpack(sets[int(r)].as_py()) for r in rows], percent, own[rows] == -1 if own[rows[0]] < 0 else None)
         out += [(int(cids[rows[i]]), int(cids[rows[j]])) for i, j in enumerate(_forest(near).tolist()) if i != j]
     return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, chunks: int = CHUNKS, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+def _compared(full: DataFrame, task, percent: int) -> DataFrame:
+    """Links between members of equal (gid, bi, bj)."""
+    return full.select(task.alias("task"), "gid", "bi", "bj", "block", "cid", "shingles").groupBy("task").applyInArrow(lambda t: _confirm(t, percent), "u long, v long")
+
+
+def _blocks(members: DataFrame, seed: int, block: int, weight: int) -> DataFrame:
+    """Members dealt into blocks of their group (gid), by a hash of the class: as many as members and shingles ask for."""
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / weight)).cast("int")
+    sizes = members.groupBy("gid").agg(parts.alias("parts"), F.count(F.lit(1)).alias("n"))
+    out = split_join(members, sizes.select("gid", "parts"), "gid", sizes.select("gid", "n"), members.count())
+    return out.withColumn("block", F.pmod(F.xxhash64("cid", F.lit(seed)), F.col("parts")).cast("int"))
+
+
+def _own(dealt: DataFrame) -> DataFrame:
+    return dealt.withColumns({"bi": F.col("block"), "bj": F.col("block")})
+
+
+def confirmed_links(members: DataFrame, held: DataFrame, percent: int, block: int, weight: int) -> DataFrame:
+    """A forest of the confirmed links of all candidate groups: members (cid, of and check, rep, n_shingles, gid)."""
+    dealt = written(_blocks(members, 0, block, weight), "members")
+    one = held.select(F.col("doc_id").alias("rep_"), F.col("cid").alias("of_"), F.col("check").alias("check_"), "shingles")
+    full = dealt.join(one, (F.col("of") == F.col("of_")) & (F.col("check") == F.col("check_")) & F.col("rep").eqNullSafe(F.col("rep_")))
+    rows, shingles = dealt.where("parts = 1").agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    few = max(4, -(-rows // 2000), -(-shingles // weight))
+    links = _compared(_own(full.where("parts = 1")), F.pmod(F.xxhash64("gid"), F.lit(few)), percent)
+    if dealt.where("parts > 1").isEmpty():
+        return links
+    return links.unionByName(_large_groups(written(full.where("parts > 1").select("cid", "gid", "n_shingles", "shingles").dropDuplicates(["cid"]), "large"), percent, block, weight))
+
+
+def _large_groups(full: DataFrame, percent: int, block: int, weight: int) -> DataFrame:
+    """Links of groups that do not fit into one block: (cid, gid, n_shingles, shingles), one row for each class."""
+    members, bodies, task = full.drop("shingles"), full.select("cid", "shingles"), F.xxhash64("gid", "bi", "bj")
+    here, left, found = members, None, None
+    for seed in range(1, 20):
+        mine = written(_own(_blocks(here, seed, block, weight)), "dealt")
+        more = _compared(mine.join(bodies, "cid"), task, percent)
+        found = written(more if found is None else found.unionByName(more), "found")
+        label = components(found).select(F.col("node").alias("cid"), "label")
+        told = written(members.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "told")
+        # One member of each component goes on; where that hardly makes them fewer, the last step finds the rest.
+        here = told.where("cid = label").drop("label")
+        before, left = left, here.count()
+        if mine.where("parts > 1").isEmpty() or (before is not None and left * 2 > before):
+            break
+    sizes = told.groupBy("gid", "label").agg(F.count(F.lit(1)).alias("k"))
+    best = sizes.groupBy("gid").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+    counts = told.groupBy("gid").agg(F.count(F.lit(1)).alias("n"))
+    told = split_join(told, best, "gid", counts, members.count())
+    lone = written(_blocks(told.where("label <> main"), 30, block, weight), "lone")
+    if lone.isEmpty():
+        return found
+    every = written(_blocks(told.join(F.broadcast(lone.select("gid").distinct()), "gid", "left_semi"), 31, block, weight), "every")
+    number = lambda df: F.broadcast(df.groupBy("gid").agg(F.first("parts").alias("others")))  # noqa: E731  a row for each group over a block
+    side = lambda df, other, mine, its, mark: df.join(number(other), "gid").withColumn(its, F.explode(F.sequence(F.lit(0), F.col("others") - 1))).select("cid", "gid", F.col("block").alias(mine), its, F.lit(mark).alias("block"))
+    both = side(lone, every, "bi", "bj", -1).unionByName(side(every, lone, "bj", "bi", -2))
+    return found.unionByName(_compared(both.join(bodies, "cid"), task, percent))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, chunks: int = CHUNKS, distance: int = DISTANCE, block: int = BLOCK, weight: int = SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id of the group), kept: one row for each document."""
     spark = docs.sparkSession
     sets = written(shingle_table(docs, size), "shingles")
     held = sets.where("cid is not null")
-    classes = held.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
-    n = max(shuffle_partitions(spark), 8)
-    buckets = _keys(classes, chunks, distance).repartition(n, "key").sortWithinPartitions("key")
+    sums = held.groupBy("cid", "check").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("n"))
+    # Classes that share 64 of their 128 bits: all but the first are named by both halves.
+    nth = F.row_number().over(Window.partitionBy("cid").orderBy("check"))
+    classes = written(sums.withColumn("name", F.when(nth == 1, F.col("cid")).otherwise(F.xxhash64("cid", "check"))), "classes")
+    named = classes.select(F.col("name").alias("cid"), "signature")
+    buckets = _keys(named, chunks, distance).repartition(max(shuffle_partitions(spark), 8), "key").sortWithinPartitions("key")
     edges = buckets.mapInArrow(lambda b: _bucket_edges(b, distance, block), "u long, v long")
-    groups = written(components(edges).select(F.col("node").alias("cid"), F.col("label").alias("gid")), "groups")
-
-    sizes = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("members"))
-    total = groups.count()
-    parts = F.ceil(F.col("members") / F.lit(block)).cast("int")
-    members = groups.join(sizes, "gid").join(classes.select("cid", "rep"), "cid").withColumn("parts", parts)
-    members = members.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = members.select("cid", "rep", "gid", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "parts")
-    few = max(4, -(-total // 2000))
-    task = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("gid"), F.lit(few))).otherwise(F.xxhash64("gid", "bi", "bj"))
-    one = held.select(F.col("doc_id").alias("rep"), F.col("cid").alias("of"), "shingles")
-    full = members.join(one, (F.col("of") == F.col("cid")) & members["rep"].eqNullSafe(one["rep"])).select(task.alias("task"), "gid", "bi", "bj", "block", "cid", "shingles")
-    links = full.groupBy("task").applyInArrow(lambda t: _confirm(t, percent), "u long, v long")
+    groups = components(edges).select(F.col("node").alias("name"), F.col("label").alias("gid"))
+    members = written(groups.join(classes, "name").select(F.col("name").alias("cid"), F.col("cid").alias("of"), "check", "rep", "n_shingles", "gid"), "groups")
+    links = confirmed_links(members, held, percent, block, weight)
     joined = components(links)
 
-    reps = classes.select("cid", "rep").join(joined.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = reps.join(least, "label").select(F.col("cid"), "component_id")
-    out = sets.select("doc_id", "n_shingles", "cid").join(of_class, "cid", "left")
+    reps = classes.select("name", "cid", "check", "rep", "n").join(joined.select(F.col("node").alias("name"), "label"), "name", "left").withColumn("label", F.coalesce("label", "name"))
+    least = reps.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of_class = split_join(reps.drop("n"), least.select("label", "component_id"), "label", least.select("label", "n"), classes.count())
+    many = written(of_class.select(F.struct("cid", "check").alias("class"), "component_id"), "of_class")
+    counts = classes.select(F.struct("cid", "check").alias("class"), "n")
+    rows = sets.select("doc_id", "n_shingles", F.when(F.col("cid").isNotNull(), F.struct("cid", "check")).alias("class"))
+    out = split_join(rows, many, "class", counts, sets.count(), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op8_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), size=4)
+
+
+#: Sets of 4-word shingles as lists, links by their exact similarity, and every document's least reachable id.
+ORACLE = r"""
+WITH RECURSIVE texts AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  cut AS (SELECT doc_id, unnest(w) AS a, unnest(range(0, len(w))) AS p, len(w) AS n FROM texts),
+  grams AS (SELECT doc_id, p, n, CASE WHEN n >= 4 THEN concat_ws(' ', a, lead(a, 1) OVER o, lead(a, 2) OVER o, lead(a, 3) OVER o) ELSE string_agg(a, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS g FROM cut WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+  sets AS MATERIALIZED (SELECT DISTINCT doc_id, g FROM grams WHERE p <= greatest(n - 4, 0)),
+  sizes AS MATERIALIZED (SELECT doc_id, count(*) AS k FROM sets GROUP BY doc_id),
+  links AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN sizes s ON s.doc_id = a.doc_id JOIN sizes t ON t.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, s.k, t.k HAVING 100 * count(*) >= 80 * (s.k + t.k - count(*))),
+  reach AS (SELECT doc_id AS x, doc_id AS y FROM texts UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
+SELECT r.x AS doc_id, coalesce(k, 0) AS n_shingles, r.c AS component_id, r.x = r.c AS kept FROM (SELECT x, min(y) AS c FROM reach GROUP BY x) r LEFT JOIN sizes ON sizes.doc_id = r.x"""
