@@ -15,19 +15,22 @@
    than a passage are compared with passages near their own length too.
 4. A candidate counts if the longest common subsequence with the item, over the
    passage and its surroundings, holds enough of the item's words, and if the
-   answer check passes: most of the item's rarest words occur there too.  As no
-   match can do without, passages that cannot pass the answer check of any
-   item are not projected at all.
+   answer check passes: most of the item's rarest words occur there too, or, where
+   a paraphrase replaced them, a larger share of all words and half of its telling ones.
 5. All words of an item in a row are a copy, however short it is, whatever the
    cosine: they are looked up by the item's rarest word.
 
 Bound: the benchmark's texts go to every task, at most BLOCK items at once;
-larger benchmarks are worked off in blocks.  Nothing else is collected that
-grows with the documents.
+larger benchmarks are worked off in blocks.  The sums of the SVD are added up in a
+tree of FAN partial sums at a time, so no task holds those of all.  Nothing else is
+collected that grows with the documents.
 
 Defined results: null and blank texts match nothing; items without words match
-nothing; equal items each match.  Repeated rows match each; a null doc_id is
-carried along.  Only doc_id, text and item_id, text are read.
+nothing; equal items each match, and of equally good passages the first counts.
+Empty tables of documents or items give no rows.  A long text is looked at whole,
+by one task, in runs of about a million words.  Repeated rows match each; a null
+doc_id is carried along.  Only doc_id, text and item_id, text are read, so other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +49,9 @@ from .textscan import LOWER, NON_ALNUM, mix, pieces, span_hashes, text_bytes, wo
 BLOCK, RANK, STEP, SPAN = 5000, 128, 16, 3
 COSINE, COMMON, ANSWER = 0.35, 0.0003, 5
 SUBSEQUENCE = 0.6
+#: What a paraphrase without the answer words must reach: cosine, share of all words, share of the telling ones; and its item's words.
+REPLACED, SHORTEST = (0.45, 0.7, 0.5), 8
+FAN = 64
 _NUMBER_BASE = 0xA0761D6478BD642F | 1
 
 
@@ -130,21 +137,9 @@ def _rows(batch: pa.RecordBatch, kind: str, most: int = 400_000) -> Iterator[tup
         yield data, np.concatenate([[0], np.cumsum(sizes[a:b])]), a
 
 
-def _hopeful(data: np.ndarray, first: np.ndarray, telling: np.ndarray, needed: int, reach: int, step: int, span: int) -> np.ndarray:
-    """Windows that can pass the answer check: one of the items' answer words inside, enough of them within reach."""
-    seen = np.concatenate([[0], np.cumsum(telling[data])])
-    blocks = -(-np.diff(first) // step)
-    base = np.concatenate([[0], np.cumsum(blocks)])
-    doc = np.repeat(np.arange(len(blocks)), blocks)
-    a = first[doc] + (np.arange(base[-1]) - base[doc]) * step
-    b = np.minimum(a + step * span, first[doc + 1])
-    low, high = np.maximum(a - reach, first[doc]), np.minimum(b + reach, first[doc + 1])
-    return (seen[b] > seen[a]) & (seen[high] - seen[low] >= needed)
-
-
-def _cells(data: np.ndarray, first: np.ndarray, weight: np.ndarray, step: int, span: int, wanted: np.ndarray | None = None):
+def _cells(data: np.ndarray, first: np.ndarray, weight: np.ndarray, step: int, span: int):
     """The sparse TF-IDF matrix of all windows of `span` blocks of `step` words: rows, columns, values;
-    and each window's document and first word.  Windows without a weighted word, or not wanted, are left out."""
+    and each window's document and first word.  Windows without a weighted word are left out."""
     size = np.diff(first)
     where = np.flatnonzero(weight[data] > 0)
     doc = np.searchsorted(first, where, side="right") - 1
@@ -158,9 +153,6 @@ def _cells(data: np.ndarray, first: np.ndarray, weight: np.ndarray, step: int, s
         rows.append((base[doc] + block - back)[ok])
         columns.append(data[where][ok])
     row, column = np.concatenate(rows), np.concatenate(columns)
-    if wanted is not None:
-        ok = wanted[row]
-        row, column = row[ok], column[ok]
     key, count = np.unique(row * len(weight) + column, return_counts=True)
     row, column = key // len(weight), key % len(weight)
     names, row = np.unique(row, return_inverse=True)
@@ -231,7 +223,7 @@ def latent_space(held: DataFrame, items: Items, kind: str, weight: np.ndarray, r
     rows_a_block = 256
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, energy = np.zeros((m, wide), np.float32), 0.0
+        total, energy, task = np.zeros((m, wide), np.float32), 0.0, TaskContext.get().partitionId()
         for batch in batches:
             for data, first, _ in _rows(batch, kind):
                 row, column, value, n, _, _ = _cells(data, first, weight, size, 1)
@@ -244,16 +236,19 @@ def latent_space(held: DataFrame, items: Items, kind: str, weight: np.ndarray, r
         for b in range(0, m, rows_a_block):
             part = total[b : b + rows_a_block]
             if part.any():
-                yield pa.record_batch({"block": pa.array([b], pa.int64()), "part": pa.array([part.tobytes()], pa.binary())})
-        yield pa.record_batch({"block": pa.array([-1], pa.int64()), "part": pa.array([np.float32(energy).tobytes()], pa.binary())})
+                yield pa.record_batch({"task": pa.array([task]), "block": pa.array([b], pa.int64()), "part": pa.array([part.tobytes()], pa.binary())})
+        yield pa.record_batch({"task": pa.array([task]), "block": pa.array([-1], pa.int64()), "part": pa.array([np.float32(energy).tobytes()], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in table["part"].to_pylist())
-        return pa.table({"block": table["block"].slice(0, 1), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+        total = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in table["part"])
+        return pa.table({"task": table["task"].slice(0, 1), "block": table["block"].slice(0, 1), "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
     y, energy = np.zeros((m, wide)), 0.0
     # (words of the benchmark) x (rank + 16) numbers, whatever the documents.
-    for block, part in held.mapInArrow(sketch, "block long, part binary").groupBy("block").applyInArrow(add, "block long, part binary").collect():
+    sums, tasks = held.mapInArrow(sketch, "task long, block long, part binary"), held._jdf.queryExecution().toRdd().getNumPartitions()
+    while tasks > 1:
+        sums, tasks = sums.withColumn("task", F.floor(F.col("task") / FAN)).groupBy("task", "block").applyInArrow(add, "task long, block long, part binary"), -(-tasks // FAN)
+    for _, block, part in sums.collect():
         if block < 0:
             energy = float(np.frombuffer(part, np.float32)[0])
         else:
@@ -339,15 +334,12 @@ def _matches(held: DataFrame, items: Items, kind: str, weight: np.ndarray, space
     queries = np.zeros((len(items.ids), space.shape[1]))
     np.add.at(queries, row, space[column] * value[:, None])
     queries = _unit(queries).astype(np.float32)
+    telling = [w[weight[w] > 0] for w in items.words]
     answers = [set(np.unique(w)[np.argsort(-weight[np.unique(w)], kind="stable")[:ANSWER]].tolist()) for w in items.words]
     listed = [w.tolist() for w in items.words]
     views = []
     for pace, some in _views(np.array([len(w) for w in listed], np.int64), step, span):
-        reach = max((len(listed[q]) for q in some), default=0)
-        needed = min((len(answers[q]) // 2 + 1 for q in some if answers[q]), default=1)
-        telling = np.zeros(len(weight), np.int64)
-        telling[np.array([w for q in some for w in answers[q]], np.int64)] = 1
-        views.append((pace, some.tolist(), queries[some], telling, needed, reach))
+        views.append((pace, some.tolist(), queries[some]))
     copies = Copies(items.words, weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,9 +347,8 @@ def _matches(held: DataFrame, items: Items, kind: str, weight: np.ndarray, space
             out = [[], [], [], [], []]
             for data, first, base in _rows(batch, kind):
                 best: dict[tuple[int, int], tuple] = {}
-                for pace, some, asked, telling, needed, reach in views:
-                    wanted = _hopeful(data, first, telling, needed, reach, pace, span)
-                    row, column, value, n, owner, word = _cells(data, first, weight, pace, span, wanted)
+                for pace, some, asked in views:
+                    row, column, value, n, owner, word = _cells(data, first, weight, pace, span)
                     if not n:
                         continue
                     passages = _unit(_times(row, column, value, n, space))
@@ -365,14 +356,16 @@ def _matches(held: DataFrame, items: Items, kind: str, weight: np.ndarray, space
                         scores = passages[a : a + 2048] @ asked.T
                         for p, k in zip(*(x.tolist() for x in np.nonzero(scores >= cosine)), strict=True):
                             q, at, doc = some[k], int(word[a + p]), int(owner[a + p])
-                            item = listed[q]
+                            item, cos = listed[q], float(scores[p, k])
                             lo = max(int(first[doc]), int(first[doc]) + at - len(item))
-                            near = data[lo : min(int(first[doc + 1]), int(first[doc]) + at + pace * span + len(item))].tolist()
-                            if len(answers[q] & set(near)) * 2 <= len(answers[q]):
+                            near = data[lo : min(int(first[doc + 1]), int(first[doc]) + at + pace * span + len(item))]
+                            answered = len(answers[q].intersection(near.tolist())) * 2 > len(answers[q])
+                            needed = subsequence if answered else max(subsequence, REPLACED[1])
+                            if not answered and (cos < REPLACED[0] or len(item) < SHORTEST or np.isin(telling[q], near).sum() < REPLACED[2] * len(telling[q])):
                                 continue
-                            share = common_subsequence(item, near) / len(item)
-                            if share >= subsequence and share > best.get((doc, q), (0.0,))[0]:
-                                best[doc, q] = (share, at, float(scores[p, k]))
+                            share = common_subsequence(item, near.tolist()) / len(item)
+                            if share >= needed and share > best.get((doc, q), (0.0,))[0]:
+                                best[doc, q] = (share, at, cos)
                 for doc, q, at in copies.find(data, first):
                     # A passage of the copied words alone is the item.
                     if best.get((doc, q), (0.0,))[0] < 1:

@@ -1,0 +1,163 @@
+"""What sizes, collisions and odd frames must not change."""
+
+from __future__ import annotations
+
+import random
+from collections import defaultdict
+
+import corpus as c
+import numpy as np
+from test_llm_operators import groups
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_that_polynomials_take_for_one(spark):
+    from llm.op9_substring import repeated_passages
+    from llm.textscan import span_hashes, windows
+
+    one = thue_morse(1024)
+    two = one.translate(str.maketrans("ab", "ba"))
+    raw = np.frombuffer((one + two).encode(), np.uint8)
+    a, b = span_hashes(raw, np.array([0, 1024]), np.array([1024, 2048]))
+    assert a != b
+    rest = c.prose(random.Random(3), 12)
+    df = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{one} {rest}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in repeated_passages(df).collect()} == {1: 0, 2: 0, 3: 13}
+    codes = np.array([ord(x) for x in one], np.uint64)
+    assert len({int(x) for x in windows(codes, 512)[[0]]} | {int(x) for x in windows(np.uint64(195) - codes, 512)[[0]]}) == 2
+
+
+def test_spans_name_their_sources(spark):
+    from llm.op9_substring import repeated_passages
+
+    rnd = random.Random(5)
+    x, y = c.prose(rnd, 20), c.prose(rnd, 30)
+    docs = [(1, f"{c.prose(rnd, 5)} {x}"), (2, f"{y} {c.prose(rnd, 9)}"), (3, f"{c.prose(rnd, 4)} {x} {y}"), (4, f"{x} {y}")]
+    for most in (1 << 24, 40):  # one group; a group for each document
+        got = {r.doc_id: r for r in repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"), most=most).collect()}
+        assert got[3].spans == [[4, 54]] and {tuple(p) for p in got[3].paths} >= {(4, 24, 1, 5), (24, 54, 2, 0)}
+        assert got[4].n_removed == 50 and {p[2] for p in got[4].paths} == {1, 2, 3}
+
+
+def test_groups_of_any_size_agree(spark):
+    """Frames without statistics; from one group to one for each document; an id that many rows share is spread."""
+    from llm.first_seen import by_range
+    from llm.op2_suffix import repeated_bytes
+    from llm.op9_substring import repeated_passages
+
+    docs = [d for d in c.documents() if d[0] < 1005]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for f, kind in ((repeated_bytes, "n_bytes"), (repeated_passages, "n_words")):
+        want = {r.doc_id: (r[kind], r.spans) for r in f(df, most=1 << 30).collect()}
+        assert {r.doc_id: (r[kind], r.spans) for r in f(df, most=20_000).collect()} == want
+    one = spark.createDataFrame([(7 if k % 3 else k, t) for k, t in docs], "doc_id long, text string")
+    dealt, n = by_range(one, most=20_000)
+    sizes = [r[1] or 0 for r in dealt.selectExpr("bid", "octet_length(text) as l").groupBy("bid").agg({"l": "sum"}).collect()]
+    assert n > 10 and sum(sizes) == sum(len((t or "").encode()) for _, t in docs) and sorted(sizes)[-2] < 25_000
+
+
+def test_group_sizes_grow_with_the_root():
+    from llm.common import group_bytes
+
+    for size in (0, 10, 10**9, 10**12, 10**14):
+        g = group_bytes(size, 200)
+        assert (size / g) ** 2 <= max(size / 1024, (size / 1_000_000) ** 2 if size < 10**11 else 0) + 1
+    assert group_bytes(10**14, 200) < 400_000_000
+
+
+def near(rnd, base, most):
+    w = list(base)
+    for _ in range(rnd.randint(0, most)):
+        w[rnd.randrange(len(w))] = c.word(rnd)
+    return " ".join(w)
+
+
+def test_op8_large_groups(spark):
+    """Candidate groups over a block, by members or by shingles: chains, and several true groups in one candidate group."""
+    from llm.op8_minhash import near_duplicates
+
+    rnd = random.Random(16)
+    docs, base = [], c.prose(rnd, 120).split()
+    for k in range(40):
+        docs.append((k, near(rnd, base, 6)))
+    chain = list(base)
+    for k in range(40):  # each near the one before, the last far from the first
+        for j in range(2):
+            chain[(2 * k + j) * 3 % 120] = c.word(rnd)
+        docs.append((100 + k, " ".join(chain)))
+    far = [*base[:90], *c.prose(rnd, 30).split()]
+    docs += [(200 + k, near(rnd, far, 4)) for k in range(20)] + [(300 + k, c.prose(rnd, 90)) for k in range(10)]
+    rnd.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = {i: root for i, (_, root) in groups(docs, 4).items()}
+    for block, weight in ((7, 10**9), (1500, 900)):
+        assert {r.doc_id: r.component_id for r in near_duplicates(df, size=4, block=block, weight=weight).collect()} == want
+
+
+def test_components_split_hot_nodes(spark):
+    from llm.components import components
+
+    rnd = random.Random(2)
+    links = [(0, k) for k in range(1, 4000)] + [(5000 + k, 5001 + k) for k in range(40)] + [(rnd.randrange(1, 4000), 6000 + k) for k in range(3000)]
+    df = spark.createDataFrame([(max(x), min(x)) for x in links], "u long, v long")
+    got = {r.node: r.label for r in components(df).collect()}
+    assert all(got[k] == 0 for k in range(4000)) and {got[5000 + k] for k in range(41)} == {5000} and {got[6000 + k] for k in range(3000)} == {0}
+
+
+def test_op3_paraphrase_without_the_rarest_words(spark, tmp_path):
+    """The four rarest words of each item replaced, so that no copy and no answer is left: only the latent step finds it."""
+    from llm.op3_decontaminate import contaminated
+
+    rnd = random.Random(18)
+    common = [c.word(rnd) for _ in range(5000)]
+    bench = [(k, " ".join([rnd.choice(common) for _ in range(24)] + [f"{c.word(rnd)}zu{k}" for _ in range(4)])) for k in range(30)]
+    docs = [(k, " ".join(rnd.choice(common) for _ in range(200))) for k in range(150)]
+    for k, t in bench:
+        w = t.split()
+        docs.append((1000 + k, " ".join([rnd.choice(common) for _ in range(60)] + w[:24] + [c.word(rnd) for _ in range(4)] + [rnd.choice(common) for _ in range(60)])))
+    path = c.write(spark, tmp_path, docs=docs, bench=bench)
+    found = contaminated(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/benchmark.parquet")).collect()
+    hits = {(r.doc_id, r.item_id) for r in found}
+    assert not any(f" {w} " in f" {t} " for _, w in bench for _, t in docs)
+    assert sum((1000 + k, k) in hits for k, _ in bench) >= 27 and not any(i < 1000 for i, _ in hits)
+
+
+def test_op3_blocks_of_a_large_benchmark(spark, tmp_path):
+    """12,000 items in three blocks, 5 MB: whole copies and copies with words lost, against the words in order."""
+    from llm.op3_decontaminate import contaminated
+
+    rnd = random.Random(28)
+    words = [c.word(rnd) for _ in range(30_000)]
+    bench = [(k, " ".join(rnd.choices(words, k=55))) for k in range(12_000)]
+    assert sum(len(t) for _, t in bench) > 4_500_000
+    docs, want = [(k, " ".join(rnd.choices(words, k=150))) for k in range(40)], defaultdict(set)
+    for j, k in enumerate(range(0, 12_000, 400)):
+        w = bench[k][1].split()
+        if j % 2:
+            w = [x for i, x in enumerate(w) if i % 5]
+        docs.append((1000 + j, " ".join(rnd.choices(words, k=50) + w + rnd.choices(words, k=50))))
+        want[1000 + j].add(k)
+    path = c.write(spark, tmp_path, docs=docs, bench=bench)
+    got = defaultdict(set)
+    for r in contaminated(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/benchmark.parquet")).collect():
+        got[r.doc_id].add(r.item_id)
+    assert sum(want[i] <= got[i] for i in want) >= 0.9 * len(want) and not any(i < 1000 for i in got)
+
+
+def test_folder_only_on_a_local_master(spark):
+    import pytest
+
+    from llm.common import shared_dir
+
+    class Session:
+        conf = {}
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+    assert spark.sparkContext.applicationId in shared_dir(spark)
