@@ -2,15 +2,20 @@
 
 All of it is DataFrame functions.  A pattern's places come from the lengths of
 its matches and of the pieces between them.  Strong parts - assignments, access
-identifiers, long hex - are reported as they stand.  Weak parts - 40 characters
-that may be a secret key, and endpoints - are common in harmless text, so they
-are reported only where parts that complement them stand in the same scope: a
-secret key near an access identifier, an endpoint near an identifier and a
-secret.  A scope reaches SCOPE characters to either side; parts are joined as
-intervals, by cells of that width, so a cell holds few parts however long a text.
+identifiers, long hex - are reported as they stand.  Weak parts - runs of exactly
+40 characters that may be a secret key, and endpoints of any length - are common in
+harmless text, so they are reported only where parts that complement them stand in
+the same scope: a secret key near an access identifier, an endpoint near an
+identifier and a secret.  A scope reaches SCOPE characters to either side; parts are
+joined as intervals, each in all cells of that width that it or its scope touches,
+so a cell holds few parts however long a text.
 
 Offsets are code points, ends exclusive.  Defined results: null and empty texts
-have no spans; repeated rows get their result each; only doc_id and text are read.
+have no spans, an empty table gives no rows; parts of equal start are listed in the
+kinds' order; long texts are scanned whole, running sums and redaction going by
+blocks of 256 parts; repeated rows get their result each; only doc_id and text are
+read (and n_chars brought up to date by the redaction), so other columns may have
+any name.
 """
 
 from __future__ import annotations
@@ -25,23 +30,24 @@ SCOPE = 256
 _EITHER = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
 _NAME = "|".join(map(_EITHER, ("password", "passwd", "secret", "token"))) + "|" + _EITHER("api") + "_?" + _EITHER("key")
 
-#: kind: (pattern, group whose length counts, least length); the order is that of equal starts.
+#: kind: (pattern, group whose length counts, least and greatest length); the order is that of equal starts.
 BASE = {
-    "assign": (rf"""({_NAME})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    "assign": (rf"""({_NAME})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, None),
     # Runs of the whole class are matched or dropped as a whole, so the least length may stand in the pattern.
-    "access": (r"AKIA[A-Z0-9]{12,}", 0, 16),
-    "hex": (r"[0-9a-f]{32,}", 0, 32),
+    "access": (r"AKIA[A-Z0-9]{12,}", 0, 16, None),
+    "hex": (r"[0-9a-f]{32,}", 0, 32, None),
 }
 WEAK = {
-    "key": (r"(?:[A-Za-z0-9/+]{40})", 0, 40),
-    "endpoint": (r"https?://[A-Za-z0-9.:_/-]{4,200}", 0, 0),
+    # A longer run is no key.
+    "key": (r"[A-Za-z0-9/+]{40,}", 0, 40, 40),
+    "endpoint": (r"https?://[A-Za-z0-9.:_/-]{4,}", 0, 0, None),
 }
 KINDS = [*BASE, *WEAK]
 _SPANS = "array<struct<s:int,e:int>>"
 
 
-def places(text: Column, pattern: str, group: int, least: int) -> Column:
-    """Start and end of every match whose group has the least length, in order.
+def places(text: Column, pattern: str, group: int, least: int, most: int | None = None) -> Column:
+    """Start and end of every match whose group has such a length, in order.
 
     Running sums are taken in blocks of 256 matches, so that a text full of
     matches costs little more than its length.
@@ -62,7 +68,7 @@ def places(text: Column, pattern: str, group: int, least: int) -> Column:
 
     parts = F.transform(F.sequence(F.lit(0), F.size(sizes) - 1, F.lit(256)), lambda k: F.slice(sizes, k + 1, 256))
     all_of = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<struct<s:int,e:int,c:int>>>)").alias("all")), block, lambda acc: F.flatten(acc["all"]))
-    kept = F.transform(F.filter(all_of, lambda x: x["c"] >= least), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
+    kept = F.transform(F.filter(all_of, lambda x: (x["c"] >= least) & (F.lit(True) if most is None else x["c"] <= most)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
     return F.when(text.rlike(pattern), kept).otherwise(F.expr(f"cast(array() as {_SPANS})"))
 
 
@@ -77,17 +83,16 @@ def _exploded(parts: DataFrame, kind: str) -> DataFrame:
     return parts.select("rid", F.explode(kind).alias("x")).select("rid", F.col("x.s").alias("s"), F.col("x.e").alias("e"))
 
 
-def _cells(rows: DataFrame, scope: int) -> DataFrame:
-    """Each interval in every cell from which something in its scope may begin (what may be up to `scope` long)."""
-    cells = F.sequence(F.floor((F.col("s") - 2 * scope) / scope), F.floor((F.col("e") + scope) / scope))
-    return rows.select(F.col("rid").alias("r"), F.col("s").alias("bs"), F.col("e").alias("be"), F.explode(cells).alias("c"))
+def _cells(rows: DataFrame, scope: int, reach: int) -> DataFrame:
+    """Each interval in every cell that it touches, with `reach` characters to either side."""
+    return rows.withColumn("c", F.explode(F.sequence(F.floor((F.col("s") - reach) / scope), F.floor((F.col("e") + reach) / scope))))
 
 
 def _near(weak: DataFrame, strong: DataFrame, scope: int) -> DataFrame:
     """The weak intervals within the scope of a strong one: an interval join on row and cell."""
-    cell = F.floor(F.col("s") / scope)
+    other = _cells(strong, scope, scope).select(F.col("rid").alias("r"), F.col("s").alias("bs"), F.col("e").alias("be"), F.col("c").alias("b"))
     close = (F.col("s") <= F.col("be") + scope) & (F.col("bs") <= F.col("e") + scope)
-    return weak.join(_cells(strong, scope), (F.col("rid") == F.col("r")) & (cell == F.col("c")) & close, "left_semi")
+    return _cells(weak, scope, 0).join(other, (F.col("rid") == F.col("r")) & (F.col("c") == F.col("b")) & close, "left_semi").select("rid", "s", "e").distinct()
 
 
 def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -124,18 +129,29 @@ def redacted(docs: DataFrame, scope: int = SCOPE, mark: str = "[SECRET]") -> Dat
     found = found.groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans"))
     names = {c: fresh(docs.columns, f"{c}_found") for c in ("doc_id", "text_hash", "spans")}
     found = written(found.select(*(F.col(c).alias(n) for c, n in names.items())), "spans")
-    if found.count() <= SMALL // 20:
+    rows, parts = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(names["spans"])), F.lit(0))).first()
+    if rows + parts <= SMALL:  # 16 MB and as many rows' overhead
         found = F.broadcast(found)
     here = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     both = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found[names["doc_id"]]) & (here == found[names["text_hash"]]), "left")
 
-    def cut(acc, x):
-        at, out = acc["at"], acc["out"]
-        more = F.struct(x["e"].alias("at"), F.concat(out, F.when(x["s"] >= at, F.concat(F.substring(F.col("text"), at + 1, x["s"] - at), F.lit(mark))).otherwise("")).alias("out"))
-        return F.when(x["e"] > at, more).otherwise(acc)
+    spans = F.col(names["spans"])
 
-    done = F.aggregate(names["spans"], F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut)
-    text = F.when(F.col(names["spans"]).isNull(), F.col("text")).otherwise(F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text"))))
+    def block(acc, part):
+        size = F.greatest(F.array_max(F.transform(part, lambda x: x["e"])) - acc["at"], F.lit(0))
+        here = F.substring(acc["rest"], F.lit(1), size)
+
+        def cut(a, x):
+            more = F.struct(x["e"].alias("to"), F.concat(a["out"], F.when(x["s"] >= a["to"], F.concat(F.substring(here, a["to"] - acc["at"] + 1, x["s"] - a["to"]), F.lit(mark))).otherwise("")).alias("out"))
+            return F.when(x["e"] > a["to"], more).otherwise(a)
+
+        done = F.aggregate(part, F.struct(acc["at"].alias("to"), F.lit("").alias("out")), cut)
+        return F.struct((acc["at"] + size).alias("at"), F.substring(acc["rest"], size + 1, F.length(acc["rest"])).alias("rest"), F.concat(acc["all"], F.array(done["out"])).alias("all"))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.size(spans) - 1, F.lit(256)), lambda k: F.slice(spans, k + 1, 256))
+    start = F.struct(F.lit(0).alias("at"), F.col("text").alias("rest"), F.array().cast("array<string>").alias("all"))
+    done = F.aggregate(blocks, start, block)
+    text = F.when(F.col(names["spans"]).isNull(), F.col("text")).otherwise(F.concat(F.array_join(done["all"], ""), done["rest"]))
     out = both.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col(names["spans"]).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
@@ -148,13 +164,13 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
-def _sql_places(kind: str, pattern: str, group: int, least: int) -> str:
+def _sql_places(kind: str, pattern: str, group: int, least: int, most: int | None) -> str:
     text = pattern.replace("'", "''")
     counts = f"regexp_extract_all(t, '{text}', {group})"
     return f"""
   "{kind}_0" AS (SELECT rid, regexp_extract_all(t, '{text}') AS m, {counts} AS c, string_split_regex(t, '{text}') AS g FROM texts WHERE regexp_matches(t, '{text}')),
   "{kind}_1" AS (SELECT rid, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS m, unnest(c) AS c, unnest(g[1:len(m)]) AS g FROM "{kind}_0"),
-  "{kind}" AS (SELECT rid, e - len(m) AS s, e, len(c) AS c FROM (SELECT *, sum(len(g) + len(m)) OVER (PARTITION BY rid ORDER BY i) AS e FROM "{kind}_1") WHERE len(c) >= {least})"""
+  "{kind}" AS (SELECT rid, e - len(m) AS s, e, len(c) AS c FROM (SELECT *, sum(len(g) + len(m)) OVER (PARTITION BY rid ORDER BY i) AS e FROM "{kind}_1") WHERE len(c) BETWEEN {least} AND {most or 1 << 60})"""
 
 
 def _sql() -> str:
