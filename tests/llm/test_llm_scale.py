@@ -185,3 +185,35 @@ def test_op7_long_parts_and_many(spark):
     text = {r.doc_id: r.text for r in redacted(df).collect()}
     assert "a.b" not in text[1] and "a.b" not in text[4] and text[5] is None
     assert text[3] == re.sub("token=[0-9a-f]{16}", "[SECRET]", many)
+
+
+def test_op1_full_texts(spark, tmp_path):
+    """Whole licence texts with words changed, cut off at the front, several in a file; a key phrase alone is none."""
+    import duckdb
+
+    from llm import op1_licenses as op
+
+    rnd = random.Random(48)
+    long = [t for t in op.TEMPLATES if t[1] != t[2]]
+    docs, want = [], {}
+    for k, (label, text, key) in enumerate(long):
+        w, phrase = text.split(), key.split()
+        at = next(i for i in range(len(w)) if w[i : i + len(phrase)] == phrase)
+        edited = [x if at <= i < at + len(phrase) or i % 11 else c.word(rnd) for i, x in enumerate(w)]
+        shifted = w[at:][: len(w)] if at and at < 0.25 * len(w) else edited
+        docs += [(10 * k, f"{c.prose(rnd, 50)}\n * {' '.join(edited).title()}.\n{c.prose(rnd, 30)}"), (10 * k + 1, " ".join(shifted)), (10 * k + 2, f"{c.prose(rnd, 30)} {key} {c.prose(rnd, 30)}")]
+        want[10 * k] = want[10 * k + 1] = label
+    docs.append((900, "\n\n".join(text for _, text, _ in long)))
+    docs += [(1000 + k, f"the of and to in is {c.prose(rnd, 60)} the software is provided as is") for k in range(30)]
+    path = c.write(spark, tmp_path, docs=docs)
+    got = {r.doc_id: r for r in op.op1_license_scan(spark, path).collect()}
+    for i, label in want.items():
+        assert label in got[i].labels.split(","), (i, label)
+    assert all(got[i].labels == "" for i, _ in docs if i >= 1000 or (i % 10 == 2 and i < 900))
+    assert set(got[900].labels.split(",")) >= {label for label, _, _ in long} and 0.7 < got[0].score < 1
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{path}/documents.parquet/*.parquet'")
+    sql = con.sql(op.ORACLE)
+    columns = list(got[0].asDict())
+    at = [sql.columns.index(x) for x in columns]
+    assert sorted(repr(tuple(r)) for r in got.values()) == sorted(repr(tuple(r[k] for k in at)) for r in sql.fetchall())
