@@ -104,6 +104,19 @@ def small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= SMALL else ids
 
 
+def text_hash() -> Column:
+    return F.xxhash64(text_of())
+
+
+def matching(df: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """df's rows that are (left_semi) or aren't (left_anti) among `rows` (doc_id, text_hash): rows are named by id, null
+    or not, and text, so those that only share an id do not mix."""
+    keys = rows.select(F.col("doc_id").alias(fresh(df.columns, "of_id")), F.col("text_hash").alias(fresh(df.columns, "of_text"))).distinct()
+    keys = small(written(keys, "rows"))
+    a, b = keys.columns
+    return df.join(keys, df["doc_id"].eqNullSafe(keys[a]) & (text_hash() == keys[b]), how)
+
+
 def without(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose doc_id isn't among ids.doc_id; rows without one stay."""
     gone = small(written(ids.select(F.col("doc_id").alias("gone_")).where("gone_ is not null").distinct(), "gone"))

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, ship, written
+from .common import load, ship, text_hash, written
 from .textscan import LOWER, NON_ALNUM, mix, pieces, span_hashes, text_bytes, words
 
 BLOCK, RANK, STEP, SPAN = 5000, 128, 16, 3
@@ -108,9 +108,9 @@ class Items:
 
 
 def numbered(docs: DataFrame, items: Items) -> DataFrame:
-    """doc_id and its words' numbers (16 bits where they suffice), n_words."""
+    """doc_id, text_hash, n_words and the words' numbers (16 bits where they suffice)."""
     kind = "<u2" if len(items.known) < (1 << 16) - 1 else "<u4"
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("numbers", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("numbers", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,10 +122,10 @@ def numbered(docs: DataFrame, items: Items) -> DataFrame:
                 some = np.add.reduceat(np.append(data > 0, False).astype(np.int64), first[:-1]) * (np.diff(first) > 0) if n else []
                 flat = data.tobytes()
                 blocks = [flat[first[k] * size : first[k + 1] * size] if some[k] else b"" for k in range(n)]
-                yield pa.record_batch([batch.column(0).slice(done, n), pa.array(np.diff(first)), pa.array(blocks, pa.binary())], schema=schema)
+                yield pa.record_batch([batch.column(0).slice(done, n), batch.column(2).slice(done, n), pa.array(np.diff(first)), pa.array(blocks, pa.binary())], schema=schema)
                 done += n
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, numbers binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", text_hash().alias("h")).mapInArrow(run, "doc_id long, text_hash long, n_words long, numbers binary")
 
 
 def _rows(batch: pa.RecordBatch, kind: str, most: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -329,7 +329,7 @@ class Copies:
 
 
 def _matches(held: DataFrame, items: Items, kind: str, weight: np.ndarray, space: np.ndarray, step: int, span: int, cosine: float, subsequence: float) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("word", pa.int64()), ("cosine", pa.float64()), ("common", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("word", pa.int64()), ("cosine", pa.float64()), ("common", pa.float64())])
     row, column, value = _item_cells(items, weight)
     queries = np.zeros((len(items.ids), space.shape[1]))
     np.add.at(queries, row, space[column] * value[:, None])
@@ -344,7 +344,7 @@ def _matches(held: DataFrame, items: Items, kind: str, weight: np.ndarray, space
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], []]
             for data, first, base in _rows(batch, kind):
                 best: dict[tuple[int, int], tuple] = {}
                 for pace, some, asked in views:
@@ -371,15 +371,15 @@ def _matches(held: DataFrame, items: Items, kind: str, weight: np.ndarray, space
                     if best.get((doc, q), (0.0,))[0] < 1:
                         best[doc, q] = (1.0, at, 1.0)
                 for (doc, q), (share, at, cos) in best.items():
-                    for c, v in zip(out, (batch.column("doc_id")[base + doc].as_py(), items.ids[q], at, cos, share), strict=True):
+                    for c, v in zip(out, (batch.column("doc_id")[base + doc].as_py(), batch.column("text_hash")[base + doc].as_py(), items.ids[q], at, cos, share), strict=True):
                         c.append(v)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
-    return held.select("doc_id", "numbers").mapInArrow(run, "doc_id long, item_id long, word long, cosine double, common double")
+    return held.select("doc_id", "text_hash", "numbers").mapInArrow(run, "doc_id long, text_hash long, item_id long, word long, cosine double, common double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, step: int = STEP, span: int = SPAN, cosine: float = COSINE, common: float = COMMON, subsequence: float = SUBSEQUENCE, block: int = BLOCK) -> DataFrame:
-    """doc_id, item_id, word (where the best passage begins), cosine, common (share of the item's words in order)."""
+    """doc_id, text_hash, item_id, word (where the best passage begins), cosine, common (share of the item's words in order)."""
     spark = docs.sparkSession
     ship(spark)
     rows = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null").orderBy("item_id", "text")

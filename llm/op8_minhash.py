@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, ship, shuffle_partitions, written
+from .common import fresh, load, matching, ship, shuffle_partitions, text_hash, written
 from .components import components, split_join
 from .textscan import LOWER, U64, mix, pieces, span_hashes, text_bytes, windows, words
 
@@ -98,9 +98,9 @@ def signatures(sets: list[np.ndarray], values: int = VALUES) -> np.ndarray:
 
 
 def shingle_table(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, cid and check (128 bits of the class of equal sets; null if empty), signature, shingles."""
+    """doc_id, text_hash, n_shingles, cid and check (128 bits of the class of equal sets; null if empty), signature, shingles."""
     ship(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cid", pa.int64()), ("check", pa.int64()), ("signature", pa.binary()), ("shingles", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("cid", pa.int64()), ("check", pa.int64()), ("signature", pa.binary()), ("shingles", pa.binary())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,10 +117,10 @@ def shingle_table(docs: DataFrame, size: int) -> DataFrame:
                         row = (0, None, None, None, None)
                     for c, v in zip(rows, row, strict=True):
                         c.append(v)
-                yield pa.record_batch([batch.column(0).slice(done, len(sets)), *(pa.array(c, f.type) for c, f in zip(rows, list(schema)[1:], strict=True))], schema=schema)
+                yield pa.record_batch([batch.column(0).slice(done, len(sets)), batch.column(2).slice(done, len(sets)), *(pa.array(c, f.type) for c, f in zip(rows, list(schema)[2:], strict=True))], schema=schema)
                 done += len(sets)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, n_shingles long, cid long, check long, signature binary, shingles binary")
+    return docs.select(F.col("doc_id").cast("long"), "text", text_hash().alias("h")).mapInArrow(scan, "doc_id long, text_hash long, n_shingles long, cid long, check long, signature binary, shingles binary")
 
 
 def _keys(classes: DataFrame, chunks: int, distance: int) -> DataFrame:
@@ -320,7 +320,8 @@ def _large_groups(full: DataFrame, percent: int, block: int, weight: int) -> Dat
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, chunks: int = CHUNKS, distance: int = DISTANCE, block: int = BLOCK, weight: int = SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id of the group), kept: one row for each document."""
+    """doc_id, text_hash, n_shingles, component_id (least doc_id of the group), kept, label (names the group; null for an
+    empty set): one row for each document."""
     spark = docs.sparkSession
     sets = written(shingle_table(docs, size), "shingles")
     held = sets.where("cid is not null")
@@ -339,25 +340,41 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, chunks: i
     reps = classes.select("name", "cid", "check", "rep", "n").join(joined.select(F.col("node").alias("name"), "label"), "name", "left").withColumn("label", F.coalesce("label", "name"))
     least = reps.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n"))
     of_class = split_join(reps.drop("n"), least.select("label", "component_id"), "label", least.select("label", "n"), classes.count())
-    many = written(of_class.select(F.struct("cid", "check").alias("class"), "component_id"), "of_class")
+    many = written(of_class.select(F.struct("cid", "check").alias("class"), "component_id", "label"), "of_class")
     counts = classes.select(F.struct("cid", "check").alias("class"), "n")
-    rows = sets.select("doc_id", "n_shingles", F.when(F.col("cid").isNotNull(), F.struct("cid", "check")).alias("class"))
+    rows = sets.select("doc_id", "text_hash", "n_shingles", F.when(F.col("cid").isNotNull(), F.struct("cid", "check")).alias("class"))
     out = split_join(rows, many, "class", counts, sets.count(), "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "label")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The documents, with all of their columns: one row of each group of near duplicates, that of least doc_id (null last),
+    then of least text hash; of rows equal in both, one.  Rows without words stay."""
+    found = written(near_duplicates(docs, **options).where("label is not null").select("doc_id", "text_hash", "label"), "near")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = found.groupBy("label").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    told = split_join(found, first.select("label", "first"), "label", first.select("label", "n"), found.count())
+    kept = matching(docs, told.where(~place.eqNullSafe(F.col("first"))), "left_anti")
+    twice = written(found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_hash"), "twice")
+    if twice.isEmpty():
+        return kept
+    name = fresh(docs.columns, "text_hash")
+    once = matching(kept, twice, "left_semi").withColumn(name, text_hash()).dropDuplicates(["doc_id", name]).drop(name)
+    return matching(kept, twice, "left_anti").unionByName(once)
+
+
 def op8_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(load(spark, sf_dir, "documents"), size=4)
+    return near_duplicates(load(spark, sf_dir, "documents"), size=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 #: Sets of 4-word shingles as lists, links by their exact similarity, and every document's least reachable id.
 ORACLE = r"""
-WITH RECURSIVE texts AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-  cut AS (SELECT doc_id, unnest(w) AS a, unnest(range(0, len(w))) AS p, len(w) AS n FROM texts),
-  grams AS (SELECT doc_id, p, n, CASE WHEN n >= 4 THEN concat_ws(' ', a, lead(a, 1) OVER o, lead(a, 2) OVER o, lead(a, 3) OVER o) ELSE string_agg(a, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS g FROM cut WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
-  sets AS MATERIALIZED (SELECT DISTINCT doc_id, g FROM grams WHERE p <= greatest(n - 4, 0)),
-  sizes AS MATERIALIZED (SELECT doc_id, count(*) AS k FROM sets GROUP BY doc_id),
-  links AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN sizes s ON s.doc_id = a.doc_id JOIN sizes t ON t.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, s.k, t.k HAVING 100 * count(*) >= 80 * (s.k + t.k - count(*))),
-  reach AS (SELECT doc_id AS x, doc_id AS y FROM texts UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
-SELECT r.x AS doc_id, coalesce(k, 0) AS n_shingles, r.c AS component_id, r.x = r.c AS kept FROM (SELECT x, min(y) AS c FROM reach GROUP BY x) r LEFT JOIN sizes ON sizes.doc_id = r.x"""
+WITH RECURSIVE texts AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  cut AS (SELECT r, unnest(w) AS a, unnest(range(0, len(w))) AS p, len(w) AS n FROM texts),
+  grams AS (SELECT r, p, n, CASE WHEN n >= 4 THEN concat_ws(' ', a, lead(a, 1) OVER o, lead(a, 2) OVER o, lead(a, 3) OVER o) ELSE string_agg(a, ' ') OVER (PARTITION BY r ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS g FROM cut WINDOW o AS (PARTITION BY r ORDER BY p)),
+  sets AS MATERIALIZED (SELECT DISTINCT r, g FROM grams WHERE p <= greatest(n - 4, 0)),
+  sizes AS MATERIALIZED (SELECT r, count(*) AS k FROM sets GROUP BY r),
+  links AS MATERIALIZED (SELECT a.r AS x, b.r AS y FROM sets a JOIN sets b ON a.g = b.g AND a.r <> b.r JOIN sizes s ON s.r = a.r JOIN sizes t ON t.r = b.r GROUP BY a.r, b.r, s.k, t.k HAVING 100 * count(*) >= 80 * (s.k + t.k - count(*))),
+  reach AS (SELECT r AS x, r AS y FROM texts UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
+SELECT o.doc_id, coalesce(k, 0) AS n_shingles, c AS component_id, o.doc_id = c AS kept FROM (SELECT x, min(doc_id) AS c FROM reach JOIN texts ON texts.r = y GROUP BY x) g JOIN texts o ON o.r = x LEFT JOIN sizes ON sizes.r = x"""

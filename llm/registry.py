@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_licenses, op7_secrets
+from . import op1_licenses, op2_suffix, op7_secrets, op8_minhash, op9_substring, op10_rules
 from .op1_licenses import op1_license_scan
 from .op10_rules import op10_quality_rules
 from .op2_suffix import op2_suffix_dedup
@@ -29,5 +29,9 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": op1_licenses.ORACLE,
+    "op2_suffix_dedup": op2_suffix.ORACLE,
     "op7_secret_scan": op7_secrets.ORACLE,
+    "op8_minhash_hamming": op8_minhash.ORACLE,
+    "op9_substring_dedup": op9_substring.ORACLE,
+    "op10_quality_rules": op10_rules.ORACLE,
 }

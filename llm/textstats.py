@@ -81,6 +81,28 @@ class Stats:
             self.held[name] = getattr(self, f"get_{name}")()
         return self.held[name]
 
+    def narrow(self, keep: np.ndarray) -> Stats:
+        """The statistics of some rows only; what is known of them is kept."""
+        if keep.all():
+            return self
+        sizes = np.diff(self.at)
+        gone = np.concatenate([[0], np.cumsum(np.where(keep, 0, sizes))])[:-1]
+        out = Stats(self.raw[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(sizes[keep])]))
+        for name, value in self.held.items():
+            if name == "line_counts":
+                out.held[name] = tuple(x[keep] for x in value)
+            elif name not in ("cut", "codes"):
+                out.held[name] = value[keep]
+        if "cut" in self.held:
+            start, end, first = self.held["cut"]
+            count = np.diff(first)
+            word = np.repeat(keep, count)
+            shift = np.repeat(gone, count)[word]
+            out.held["cut"] = (start[word] - shift, end[word] - shift, np.concatenate([[0], np.cumsum(count[keep])]))
+            if "codes" in self.held:
+                out.held["codes"] = self.held["codes"][word]
+        return out
+
     def of(self, flags: np.ndarray) -> np.ndarray:
         return per_row(flags, self.at)
 

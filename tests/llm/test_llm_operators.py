@@ -157,8 +157,8 @@ def test_classifiers(spark, corpus, prefix, column, folds, held):
     for i, rs in got.items():
         for r in rs:
             assert r.held_out == (zlib.crc32(str(i).encode()) % folds == held) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
-    y = {r[0]: r[column] for r in c.labels()}
-    assert auc(np.array([got[i][0].score for i in y]), np.array(list(y.values()))) > 0.95
+    y = {r[0]: r[column] for r in c.labels() if zlib.crc32(str(r[0]).encode()) % folds == held}
+    assert len(y) > 50 and auc(np.array([got[i][0].score for i in y]), np.array(list(y.values()))) > 0.95
 
 
 def test_op5_misspelled_and_quoted():
@@ -170,7 +170,7 @@ def test_op5_misspelled_and_quoted():
     assert lex.match("grndel") == (1, "grundel") and lex.match("grunddel") == (1, "grundel") and lex.match("grundelish") is None
     assert lex.match("scazzoni") == (0, "scazz") and lex.match("vils") is None and lex.match("vil") == (0, "vil")
     s = Scorer([("grundel", False)])
-    assert s.hits("you grundel you")[0] == 1.0 and s.hits('he said "you grundel" then')[0] < 0.5
+    assert s.hits("you grundel you")[0] == [1, 0] and s.hits('he said "you grundel" then')[0] == [0, 1] and s.hits("you grundal")[1] == {"grundel": [1, 0]}
 
 
 def test_levenshtein_against_distance():

@@ -217,3 +217,62 @@ def test_op1_full_texts(spark, tmp_path):
     columns = list(got[0].asDict())
     at = [sql.columns.index(x) for x in columns]
     assert sorted(repr(tuple(r)) for r in got.values()) == sorted(repr(tuple(r[k] for k in at)) for r in sql.fetchall())
+
+
+def test_stages_name_rows_not_ids(spark, tmp_path):
+    """Rows without an id, and rows that share one: copies and benchmark passages go, other rows of the id stay."""
+    from llm.common import matching
+    from llm.op3_decontaminate import contaminated
+    from llm.op8_minhash import one_of_each
+
+    rnd = random.Random(58)
+    a, b, clean = (c.prose(rnd, 90) for _ in range(3))
+    near = " ".join([*a.split()[:-1], "zz"])
+    rows = [(None, a), (5, near), (5, b), (6, b), (7, clean), (7, clean), (8, None), (8, None), (None, "  ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS text_hash", "1 AS of_id", "2 AS label", "3 AS n")
+    out = one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted([(5, near), (5, b), (7, clean), (8, None), (8, None), (None, "  ")], key=repr)
+    item = " ".join(b.split()[20:60])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = matching(docs, contaminated(docs, bench), "left_anti")
+    assert left.columns == docs.columns and sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted([x for x in rows if x[1] != b], key=repr)
+
+
+def test_op5_fits_what_quotation_counts():
+    from llm.op5_toxicity import BEGINNING, QUOTED, fitted
+
+    meant, quoted, none = [1.0, 0.0], [0.0, 1.0], [0.0, 0.0]
+    y = [1.0] * 50 + [0.0] * 50 + [0.0] * 200
+    assert fitted([meant] * 50 + [quoted] * 50 + [none] * 200, [{}] * 300, y)[3] == 0.0
+    assert fitted([quoted] * 50 + [none] * 50 + [none] * 200, [{}] * 300, y)[3] >= 0.3
+    assert fitted([meant] * 50 + [none] * 250, [{}] * 300, y)[3] == QUOTED[0] and BEGINNING > 14
+
+
+def test_op5_long_terms_and_one_row_of_an_id(spark):
+    from llm.op5_toxicity import labelled, learn_lexicon
+
+    rnd = random.Random(68)
+    term = "extraordinarylongslurword"
+    docs = [(k, f"{c.prose(rnd, 20)} {term if k % 2 else ''} {c.prose(rnd, 20)}") for k in range(60)]
+    df = spark.createDataFrame(docs + [(1, docs[1][1])] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    rows = labelled(df, labels, "toxic", 5, 0, 1000)
+    assert rows.count() == len({r.doc_id for r in rows.collect()}) and (term, False) in learn_lexicon(rows)
+
+
+def test_op10_rules_run_on_survivors():
+    from llm.op10_rules import RULES, cascade, counted
+
+    rnd = random.Random(78)
+    texts = [c.prose(rnd, 80) if k % 4 else " ".join(f"{c.word(rnd).upper()}!!" for _ in range(80)) for k in range(40)]
+    sizes = [len(t) for t in texts]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    s = counted(raw, np.concatenate([[0], np.cumsum(sizes)]))
+    order = ["capitals", *(r for r in RULES if r != "capitals")]
+    passed, fell, work = cascade(s, order, np.ones(40, bool))
+    left = sum(n for k, n in enumerate(sizes) if k % 4)
+    assert work == [sum(sizes)] + [left] * (len(RULES) - 1) and passed.tolist() == [bool(k % 4) for k in range(40)] and set(fell[::4].tolist()) == {0}
+    for name in RULES:  # what is carried along equals what is counted afresh
+        keep = np.arange(40) % 3 != 1
+        assert (RULES[name](s.narrow(keep)) == RULES[name](s)[keep]).all()
