@@ -17,6 +17,8 @@
    passage and its surroundings, holds enough of the item's words, and if the
    answer check passes: most of the item's rarest words occur there too, or, where
    a paraphrase replaced them, a larger share of all words and half of its telling ones.
+   An inverted index of the items' telling words counts first which stretches of a
+   text hold enough of one item's to pass; only passages of those are projected.
 5. All words of an item in a row are a copy, however short it is, whatever the
    cosine: they are looked up by the item's rarest word.
 
@@ -137,9 +139,72 @@ def _rows(batch: pa.RecordBatch, kind: str, most: int = 400_000) -> Iterator[tup
         yield data, np.concatenate([[0], np.cumsum(sizes[a:b])]), a
 
 
-def _cells(data: np.ndarray, first: np.ndarray, weight: np.ndarray, step: int, span: int):
+class Telling:
+    """Finds stretches that hold enough of an item's telling words, counted with their repetitions: no passage that could
+    pass the checks is lost."""
+
+    def __init__(self, words: list[np.ndarray], some: np.ndarray, answers: list[set], weight: np.ndarray, size: int):
+        pairs = [(w, k, w in answers[q]) for k, q in enumerate(some.tolist()) for w in np.unique(words[q]).tolist() if weight[w] > 0]
+        word, item, rare = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(word, kind="stable")
+        self.item, self.rare = item[order], rare[order] > 0
+        self.count = np.bincount(word, minlength=len(weight))
+        self.begin = np.cumsum(self.count) - self.count
+        self.reach = max((len(words[q]) for q in some.tolist()), default=0)
+        self.width, self.size, self.length = size + 2 * self.reach, size, np.array([len(words[q]) for q in some.tolist()], np.int64)
+        telling = np.array([np.count_nonzero(weight[words[q]] > 0) for q in some.tolist()], np.int64)
+        self.needed = np.where([len(words[q]) >= SHORTEST for q in some.tolist()], np.ceil(REPLACED[2] * telling), 1 << 40)
+        self.answers = np.array([len(answers[q]) // 2 + 1 for q in some.tolist()], np.int64)
+
+    def pairs(self, data: np.ndarray, first: np.ndarray, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Windows, numbered over all documents, and items that may pass there: first by stretches two widths long, of
+        which one holds all of a window's surroundings, then by the surroundings themselves."""
+        n, width = max(1, len(self.needed)), self.width
+        parts = np.diff(first) // width + 1
+        base = np.concatenate([[0], np.cumsum(parts)])
+        at = np.flatnonzero(self.count[data])
+        doc = np.searchsorted(first, at, side="right") - 1
+        cell = (at - first[doc]) // width
+        found, hits_of, rares_of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        size = max(1, 4_000_000 // n)
+        # Stretch c goes from c to c + 2 widths; so many stretches at once that their counts stay small.
+        for low in range(0, int(base[-1]), size):
+            here = np.flatnonzero((base[doc] + cell >= low) & (base[doc] + cell <= low + size))
+            count = self.count[data[at[here]]]
+            entry = np.repeat(self.begin[data[at[here]]] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            own, local = np.repeat(base[doc[here]] + cell[here], count), np.repeat(cell[here], count)
+            item, rare = self.item[entry], self.rare[entry]
+            place = item * (len(data) + 1) + np.repeat(at[here], count)
+            hits_of.append(place[own < low + size])
+            rares_of.append(place[rare & (own < low + size)])
+            for back in (0, 1):
+                ok = (own - back >= low) & (own - back < low + size) & (local >= back)
+                key = (own[ok] - back - low) * n + item[ok]
+                hits = np.bincount(key, minlength=size * n) if not back else hits + np.bincount(key, minlength=size * n)
+                rares = np.bincount(key[rare[ok]], minlength=size * n) if not back else rares + np.bincount(key[rare[ok]], minlength=size * n)
+            enough = (hits.reshape(size, n) >= self.needed) | (rares.reshape(size, n) >= self.answers)
+            found.append(np.flatnonzero(enough) + low * n)
+        blocks = -(-np.diff(first) // step)
+        start = np.concatenate([[0], np.cumsum(blocks)])
+        doc = np.repeat(np.arange(len(blocks)), blocks)
+        a = (np.arange(start[-1]) - start[doc]) * step
+        keys, hits, rares = (np.sort(np.concatenate(x)) for x in (found, hits_of, rares_of))
+        begin, passing = np.searchsorted(keys, np.arange(int(base[-1]) + 1) * n), keys % n
+        stretch = base[doc] + np.maximum(a - self.reach, 0) // width
+        count = np.diff(begin)[stretch]
+        some = np.flatnonzero(count)
+        for low, high in pieces(count[some], 1 << 18):
+            w, c = some[low:high], count[some[low:high]]
+            k = passing[np.repeat(begin[stretch[w]] - (np.cumsum(c) - c), c) + np.arange(c.sum())]
+            w = np.repeat(w, c)
+            from_, to = (np.clip(x, first[doc[w]], first[doc[w] + 1]) + k * (len(data) + 1) for x in (first[doc[w]] + a[w] - self.length[k], first[doc[w]] + a[w] + self.size + self.length[k]))
+            ok = (np.searchsorted(hits, to) - np.searchsorted(hits, from_) >= self.needed[k]) | (np.searchsorted(rares, to) - np.searchsorted(rares, from_) >= self.answers[k])
+            yield w[ok], k[ok]
+
+
+def _cells(data: np.ndarray, first: np.ndarray, weight: np.ndarray, step: int, span: int, wanted: np.ndarray | None = None):
     """The sparse TF-IDF matrix of all windows of `span` blocks of `step` words: rows, columns, values;
-    and each window's document and first word.  Windows without a weighted word are left out."""
+    each window's document and first word, and its number among all windows.  Windows without a weighted word, or not wanted, are left out."""
     size = np.diff(first)
     where = np.flatnonzero(weight[data] > 0)
     doc = np.searchsorted(first, where, side="right") - 1
@@ -153,11 +218,14 @@ def _cells(data: np.ndarray, first: np.ndarray, weight: np.ndarray, step: int, s
         rows.append((base[doc] + block - back)[ok])
         columns.append(data[where][ok])
     row, column = np.concatenate(rows), np.concatenate(columns)
+    if wanted is not None:
+        ok = wanted[row]
+        row, column = row[ok], column[ok]
     key, count = np.unique(row * len(weight) + column, return_counts=True)
     row, column = key // len(weight), key % len(weight)
     names, row = np.unique(row, return_inverse=True)
     owner = np.searchsorted(base, names, side="right") - 1
-    return row, column, _damped(count) * weight[column], len(names), owner, (names - base[owner]) * step
+    return row, column, _damped(count) * weight[column], len(names), owner, (names - base[owner]) * step, names
 
 
 def _damped(count: np.ndarray) -> np.ndarray:
@@ -226,7 +294,7 @@ def latent_space(held: DataFrame, items: Items, kind: str, weight: np.ndarray, r
         total, energy, task = np.zeros((m, wide), np.float32), 0.0, TaskContext.get().partitionId()
         for batch in batches:
             for data, first, _ in _rows(batch, kind):
-                row, column, value, n, _, _ = _cells(data, first, weight, size, 1)
+                row, column, value, n, *_ = _cells(data, first, weight, size, 1)
                 if n:
                     energy += float((value**2).sum())
                     out = _times(row, column, value, n, omega)
@@ -339,7 +407,7 @@ def _matches(held: DataFrame, items: Items, kind: str, weight: np.ndarray, space
     listed = [w.tolist() for w in items.words]
     views = []
     for pace, some in _views(np.array([len(w) for w in listed], np.int64), step, span):
-        views.append((pace, some.tolist(), queries[some]))
+        views.append((pace, some.tolist(), queries[some], Telling(items.words, some, answers, weight, pace * span)))
     copies = Copies(items.words, weight)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,16 +415,23 @@ def _matches(held: DataFrame, items: Items, kind: str, weight: np.ndarray, space
             out = [[], [], [], [], [], []]
             for data, first, base in _rows(batch, kind):
                 best: dict[tuple[int, int], tuple] = {}
-                for pace, some, asked in views:
-                    row, column, value, n, owner, word = _cells(data, first, weight, pace, span)
-                    if not n:
-                        continue
-                    passages = _unit(_times(row, column, value, n, space))
-                    for a in range(0, n, 2048):
-                        scores = passages[a : a + 2048] @ asked.T
-                        for p, k in zip(*(x.tolist() for x in np.nonzero(scores >= cosine)), strict=True):
-                            q, at, doc = some[k], int(word[a + p]), int(owner[a + p])
-                            item, cos = listed[q], float(scores[p, k])
+                for pace, some, asked, index in views:
+                    for near_by, k in index.pairs(data, first, pace):
+                        wanted = np.zeros(int((-(-np.diff(first) // pace)).sum()), bool)
+                        wanted[near_by] = True
+                        row, column, value, n, owner, word, window = _cells(data, first, weight, pace, span, wanted)
+                        if not n:
+                            continue
+                        passages = _unit(_times(row, column, value, n, space))
+                        # A window without a weighted word has no passage.
+                        p = np.minimum(np.searchsorted(window, near_by), n - 1)
+                        there = window[p] == near_by
+                        p, k = p[there], k[there]
+                        scores = np.einsum("ij,ij->i", passages[p], asked[k])
+                        ok = np.flatnonzero(scores >= cosine)
+                        for p, k, cos in zip(p[ok].tolist(), k[ok].tolist(), scores[ok].tolist(), strict=True):
+                            q, at, doc = some[k], int(word[p]), int(owner[p])
+                            item = listed[q]
                             lo = max(int(first[doc]), int(first[doc]) + at - len(item))
                             near = data[lo : min(int(first[doc + 1]), int(first[doc]) + at + pace * span + len(item))]
                             answered = len(answers[q].intersection(near.tolist())) * 2 > len(answers[q])
