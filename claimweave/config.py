@@ -26,7 +26,7 @@ class Config:
     chunk_tokens: int = 2500
     batch_tokens: int = 4500
     batch_pages: int = 8
-    max_facts: int = 1000
+    max_facts: int | None = None  # refuse to build a graph of more facts; None: any number
 
 
 # Scale words and what they multiply by.

@@ -61,17 +61,30 @@ def in_order_share(needle: Column, haystack: Column) -> Column:
     return F.when(F.size(needle) > 0, F.aggregate(needle, start, step, lambda acc: acc["hits"] / F.size(needle))).otherwise(0.0)
 
 
-def quote_tier(quote: Column, page: Column, fuzzy: float) -> Column:
-    """exact, normalized, fuzzy, or null: how a quote stands on a page."""
-    flat_quote, flat_page = normal_space(quote), normal_space(page)
-    needle, hay = words(flat_quote), words(flat_page)
-    # Without enough common words the walk cannot succeed, and needn't be made.
+def stands_exactly(quote: Column, page: Column) -> Column:
+    return page.contains(strip(quote))
+
+
+def stands_flat(flat_quote: Column, flat_page: Column) -> Column:
+    """Whether a quote stands on a page, both with normal space."""
+    return flat_page.contains(flat_quote)
+
+
+def stands_fuzzily(needle: Column, hay: Column, fuzzy: float) -> Column:
+    """Whether enough of a quote's words stand on a page in order.  Without enough common words the walk isn't made."""
     shared = F.size(F.array_intersect(needle, hay)) + F.size(needle) - F.size(F.array_distinct(needle))
+    return (shared >= F.size(needle) * fuzzy) & (in_order_share(needle, hay) >= fuzzy)
+
+
+def quote_tier(quote: Column, page: Column, fuzzy: float, flat_quote: Column | None = None, flat_page: Column | None = None) -> Column:
+    """exact, normalized, fuzzy, or null: how a quote stands on a page; flat texts that are at hand save making them."""
+    flat_quote = normal_space(quote) if flat_quote is None else flat_quote
+    flat_page = normal_space(page) if flat_page is None else flat_page
     return (
         F.when(F.btrim(quote) == "", None)
-        .when(page.contains(strip(quote)), "exact")
-        .when(flat_page.contains(flat_quote), "normalized")
-        .when((shared >= F.size(needle) * fuzzy) & (in_order_share(needle, hay) >= fuzzy), "fuzzy")
+        .when(stands_exactly(quote, page), "exact")
+        .when(stands_flat(flat_quote, flat_page), "normalized")
+        .when(stands_fuzzily(words(flat_quote), words(flat_page), fuzzy), "fuzzy")
     )
 
 

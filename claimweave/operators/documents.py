@@ -44,7 +44,10 @@ def ground(quotes: DataFrame, pages: DataFrame, fuzzy: float = 0.8) -> DataFrame
 
     quotes: quote_id, doc_id, quote, hint (may be null).  A page's best kind counts; an earlier page beats a better kind.
     """
-    both = quotes.join(pages.select("doc_id", "page_number", "raw_text"), "doc_id").withColumn("match_type", T.quote_tier(F.col("quote"), F.coalesce("raw_text", F.lit("")), fuzzy))
+    flat = pages.select("doc_id", "page_number", F.coalesce("raw_text", F.lit("")).alias("raw_text")).withColumn("flat_page", T.normal_space(F.col("raw_text")))
+    asked = quotes.withColumn("flat_quote", T.normal_space(F.col("quote")))
+    # Each text is flattened once, before the join, and not again for each pair.
+    both = asked.join(flat, "doc_id").withColumn("match_type", T.quote_tier(F.col("quote"), F.col("raw_text"), fuzzy, F.col("flat_quote"), F.col("flat_page")))
     first = Window.partitionBy("quote_id").orderBy(F.when(F.col("page_number").eqNullSafe(F.col("hint")), 0).otherwise(1), "page_number")
     hits = both.where("match_type is not null").withColumn("n", F.row_number().over(first)).where("n = 1").select("quote_id", F.col("page_number").alias("found_page"), "match_type")
     out = quotes.join(hits, "quote_id", "left")
@@ -99,6 +102,13 @@ def table_quality(tables: DataFrame) -> DataFrame:
     return tables.select("doc_id", "table_id", F.size("rows").alias("n_rows"), F.size("headers").alias("n_columns"), F.when(F.size(cells) > 0, blank / F.greatest(F.size(cells), F.lit(1))).otherwise(1.0).alias("empty_share"), ((F.size("rows") < 2) | (F.size("headers") < 2)).alias("fragment"))
 
 
+def progress(batches: DataFrame, job: str, order: str) -> DataFrame:
+    """Percent of a job's batches that are done when each is."""
+    mine = Window.partitionBy(job)
+    done = F.count(F.lit(1)).over(mine.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return batches.withColumn("percent", 100.0 * done / F.count(F.lit(1)).over(mine))
+
+
 def highlighted(facts: DataFrame, word_boxes: DataFrame, least: int = 3) -> DataFrame:
     """Word boxes of a fact's page whose cleaned word stands in its quote (words of `least` characters or more)."""
     clean = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}.%]", "")

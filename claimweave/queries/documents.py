@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions import text as T
 from ..operators import documents as ops
 from ..sources.files import html_text, parse_pages
@@ -43,7 +44,8 @@ def flt_header_footer(spark, sf):
     return ops.running_lines(_pages(spark, sf), 0.2)
 
 
-@query("txt_without_running_lines")
+@query("txt_without_running_lines", f"""{_RUNNING}, g AS (SELECT c.source, list(line) AS gone FROM c JOIN t ON t.source = c.source WHERE n >= pages * 0.2 GROUP BY c.source)
+ SELECT d.source AS doc_id, CAST(doc_id AS INT) AS page_number, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(gone, []), lower(trim(regexp_replace(x, '\\s+', ' ', 'g'))))), chr(10))) AS text_md5 FROM documents d LEFT JOIN g ON g.source = d.source""")
 def txt_without_running_lines(spark, sf):
     pages = _pages(spark, sf)
     return ops.without_running_lines(pages, ops.running_lines(pages, 0.2)).select("doc_id", "page_number", F.md5("raw_text").alias("text_md5"))
@@ -64,7 +66,7 @@ def _quotes(spark, sf):
 @query("join_quote_exact", f"SELECT b.item_id, d.doc_id AS page_number FROM {_QUOTED} WHERE contains(d.text, trim(b.text))")
 def join_quote_exact(spark, sf):
     both = _quotes(spark, sf).join(_pages(spark, sf), "doc_id")
-    return both.where(F.col("raw_text").contains(F.btrim("quote"))).select("item_id", F.col("page_number").cast("long"))
+    return both.where(T.stands_exactly(F.col("quote"), F.col("raw_text"))).select("item_id", F.col("page_number").cast("long"))
 
 
 _FLAT = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
@@ -74,7 +76,7 @@ _FLAT = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
 def join_quote_normalized(spark, sf):
     quotes = _quotes(spark, sf).withColumn("flat", T.normal_space(F.upper("quote")))
     pages = _pages(spark, sf).withColumn("flat_page", T.normal_space(F.col("raw_text")))
-    return quotes.join(pages, "doc_id").where(F.col("flat_page").contains(F.col("flat"))).select("item_id", F.col("page_number").cast("long"))
+    return quotes.join(pages, "doc_id").where(T.stands_flat(F.col("flat"), F.col("flat_page"))).select("item_id", F.col("page_number").cast("long"))
 
 
 @query("txt_grounding")
@@ -101,10 +103,9 @@ _CHUNKS = """WITH RECURSIVE t AS (SELECT conv_id, CAST(floor(len(text) / 4) AS I
  r AS (SELECT conv_id, i, n AS held, 0 AS chunk FROM t WHERE i = 1 UNION ALL SELECT t.conv_id, t.i, CASE WHEN r.held + t.n > 100 THEN t.n ELSE r.held + t.n END, CASE WHEN r.held + t.n > 100 THEN r.chunk + 1 ELSE r.chunk END FROM r JOIN t ON t.conv_id = r.conv_id AND t.i = r.i + 1)"""
 
 
-@query("txt_chunks", f"{_CHUNKS} SELECT CAST(conv_id AS VARCHAR) AS doc_id, chunk, count(*) AS blocks FROM r GROUP BY conv_id, chunk")
+@query("txt_chunks", f"{_CHUNKS} SELECT CAST(conv_id AS VARCHAR) AS doc_id, chunk, 'text' AS chunk_type, md5(string_agg(x.text, chr(10) || chr(10) ORDER BY r.i)) AS content FROM r JOIN (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i FROM conversations) x ON x.conv_id = r.conv_id AND x.i = r.i GROUP BY r.conv_id, chunk".replace("CAST(conv_id", "CAST(r.conv_id"))
 def txt_chunks(spark, sf):
-    binned = _turns(spark, sf).select("doc_id", F.explode(T.packed_bins(F.transform("blocks", T.tokens), 100)).alias("chunk"))
-    return binned.groupBy("doc_id", "chunk").agg(F.count(F.lit(1)).alias("blocks"))
+    return ops.chunks(_turns(spark, sf), Config(chunk_tokens=100)).select("doc_id", "chunk", "chunk_type", F.md5("content").alias("content"))
 
 
 @query("txt_page_batches")
@@ -129,8 +130,9 @@ def src_html_pages(spark, sf):
     return parse_pages(files, html_text).select("doc_id", "page_number", F.size("blocks").alias("n_blocks"), F.size("tables").alias("n_tables"), F.length("raw_text").alias("n_chars"))
 
 
-@query("agg_table_quality")
+@query("agg_table_quality", """SELECT c_nationkey::VARCHAR AS doc_id, 0 AS table_id, count(*)::INT AS n_rows, CASE WHEN c_nationkey % 5 = 0 THEN 1 ELSE 2 END AS n_columns,
+ count(*) FILTER (c_acctbal < 0 OR c_mktsegment = 'BUILDING') / (2.0::DOUBLE * count(*)) + 0 * min(c_custkey) AS empty_share, count(*) < 2 OR c_nationkey % 5 = 0 AS fragment FROM customer GROUP BY c_nationkey""".replace("count(*) FILTER (c_acctbal < 0 OR c_mktsegment = 'BUILDING')", "(count(*) FILTER (c_acctbal < 0) + count(*) FILTER (c_mktsegment = 'BUILDING'))"))
 def agg_table_quality(spark, sf):
-    files = rows(spark, sf, "pages", "string(page_id) AS doc_id", "url AS path", "cast(html AS binary) AS content")
-    tables = parse_pages(files, html_text).select("doc_id", F.posexplode("tables").alias("table_id", "t")).select("doc_id", "table_id", "t.headers", "t.rows")
+    cells = rows(spark, sf, "customer", "string(c_nationkey) AS doc_id", "c_nationkey", "array(CASE WHEN c_acctbal < 0 THEN ' ' ELSE string(c_acctbal) END, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END) AS r")
+    tables = cells.groupBy("doc_id", "c_nationkey").agg(F.collect_list("r").alias("rows")).select("doc_id", F.lit(0).alias("table_id"), "rows", F.expr("CASE WHEN c_nationkey % 5 = 0 THEN array('a') ELSE array('a', 'b') END AS headers"))
     return ops.table_quality(tables)

@@ -34,13 +34,13 @@ def _edge_sql(source: str, join: str = "a.cluster_id = b.cluster_id AND a.ordina
  CASE WHEN {equal} THEN 'corroborates' WHEN a.temporal IS DISTINCT FROM b.temporal THEN 'supersedes' ELSE 'contradicts' END AS edge_type, {most} = 0 AS zero FROM {facts} a JOIN {facts} b ON {join})"""
 
 
-_DISPUTE = "CASE WHEN (x > 0 AND y < 0) OR (x < 0 AND y > 0) THEN 'SIGN_MISMATCH' WHEN least(abs(x), abs(y)) > 0 AND greatest(abs(x), abs(y)) / least(abs(x), abs(y)) >= 10 THEN 'ORDER_OF_MAGNITUDE' WHEN least(abs(x), abs(y)) > 0 AND greatest(abs(x), abs(y)) / least(abs(x), abs(y)) < 1.01 THEN 'ROUNDING' ELSE 'GENUINE_CONFLICT' END"
+_DISPUTE = "CASE WHEN (x > 0 AND y < 0) OR (x < 0 AND y > 0) THEN 'DISPUTE_SIGN_MISMATCH' WHEN least(abs(x), abs(y)) > 0 AND greatest(abs(x), abs(y)) / least(abs(x), abs(y)) >= 10 THEN 'DISPUTE_ORDER_OF_MAGNITUDE' WHEN least(abs(x), abs(y)) > 0 AND greatest(abs(x), abs(y)) / least(abs(x), abs(y)) < 1.01 THEN 'DISPUTE_ROUNDING' ELSE 'DISPUTE_GENUINE_CONFLICT' END"
 _OPEN = "edge_type = 'contradicts' AND NOT coalesce(ta <> tb, false) AND NOT coalesce(lower(sa) <> lower(sb), false)"
 _CASES = f"""u AS (SELECT cluster_id, count(*) AS n, count(*) FILTER (edge_type = 'supersedes') AS later, count(*) FILTER (edge_type = 'contradicts') AS real, count(*) FILTER ({_OPEN}) AS open,
   count(*) FILTER (edge_type = 'corroborates' AND NOT zero) AS near, arg_min({_DISPUTE}, (ao, bo)) FILTER ({_OPEN}) AS dispute,
   arg_max(CASE WHEN ta <> tb THEN 'reconciled_temporal' ELSE 'reconciled_scope' END, (ao, bo)) FILTER (edge_type = 'contradicts' AND NOT ({_OPEN})) AS context FROM e GROUP BY cluster_id),
  v AS (SELECT g.cluster_id, CASE WHEN n IS NULL THEN 'corroborated' WHEN later > 0 AND real = 0 THEN 'reconciled_temporal' WHEN real > 0 AND open = 0 THEN context WHEN open > 0 AND later > real THEN 'reconciled_temporal' WHEN real > 0 THEN 'contradicted' ELSE 'corroborated' END AS case_type,
-  CASE WHEN n IS NULL THEN 'AGREEMENT_EXACT' WHEN later > 0 AND real = 0 THEN 'TEMPORAL_DRIFT' WHEN real > 0 AND open = 0 THEN CASE context WHEN 'reconciled_scope' THEN 'SCOPE_DIFFERENCE' ELSE 'TEMPORAL_DRIFT' END WHEN open > 0 AND later > real THEN 'TEMPORAL_DRIFT' WHEN real > 0 THEN dispute WHEN near > 0 THEN 'AGREEMENT_APPROXIMATE' ELSE 'AGREEMENT_EXACT' END AS dispute_code,
+  CASE WHEN n IS NULL THEN 'AGREEMENT_EXACT' WHEN later > 0 AND real = 0 THEN 'DISPUTE_TEMPORAL_DRIFT' WHEN real > 0 AND open = 0 THEN CASE context WHEN 'reconciled_scope' THEN 'DISPUTE_SCOPE_DIFFERENCE' ELSE 'DISPUTE_TEMPORAL_DRIFT' END WHEN open > 0 AND later > real THEN 'DISPUTE_TEMPORAL_DRIFT' WHEN real > 0 THEN dispute WHEN near > 0 THEN 'AGREEMENT_APPROXIMATE' ELSE 'AGREEMENT_EXACT' END AS dispute_code,
   coalesce(n, 0) AS edge_count FROM (SELECT DISTINCT cluster_id FROM f) g LEFT JOIN u ON u.cluster_id = g.cluster_id)"""
 
 
@@ -57,13 +57,13 @@ def agg_edge_counts(spark, sf):
 @query("vrd_cluster_verdict", f"WITH {_edge_sql(NATION_CLAIMS)}, {_CASES} SELECT * FROM v")
 def vrd_cluster_verdict(spark, sf):
     members = claims(spark, sf, NATION_CLAIMS)
-    return verdicts.verdicts(members, edges.cluster_edges(members))
+    return verdicts.verdicts(members, edges.cluster_edges(members), True)
 
 
 @query("vrd_order_verdict", f"WITH {_edge_sql(ORDER_CLAIMS)}, {_CASES} SELECT * FROM v")
 def vrd_order_verdict(spark, sf):
     members = claims(spark, sf, ORDER_CLAIMS)
-    return verdicts.verdicts(members, edges.cluster_edges(members))
+    return verdicts.verdicts(members, edges.cluster_edges(members), True)
 
 
 @query("agg_case_summary", f"WITH {_edge_sql(ORDER_CLAIMS)}, {_CASES} SELECT case_type, count(*) AS n FROM v GROUP BY case_type")
@@ -113,7 +113,7 @@ def _clusters(spark, sf):
     members = claims(spark, sf, NATION_CLAIMS)
     links = edges.cluster_edges(members)
     base = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.count_distinct("doc_id").alias("doc_count"), F.min("ordinal").alias("first_ordinal"))
-    return members, links, base.join(verdicts.verdicts(members, links), "cluster_id")
+    return members, links, base.join(verdicts.verdicts(members, links, True), "cluster_id")
 
 
 @query("sort_clusters", f"WITH {_FULL} SELECT cluster_id, case_type, doc_count, edge_count, {_ORDER} AS case_rank FROM w")
@@ -121,13 +121,15 @@ def sort_clusters(spark, sf):
     return verdicts.listed(_clusters(spark, sf)[2]).select("cluster_id", "case_type", "doc_count", "edge_count", F.col("case_rank").cast("int"))
 
 
-@query("topk_best_corroboration", f"WITH {_FULL}, k AS (SELECT cluster_id, count(*) AS n FROM e WHERE edge_type = 'corroborates' AND ad <> bd GROUP BY cluster_id) SELECT w.cluster_id, case_type, doc_count FROM w LEFT JOIN k ON k.cluster_id = w.cluster_id WHERE n IS NOT NULL OR case_type = 'corroborated' ORDER BY n IS NULL, doc_count DESC, CASE WHEN n IS NOT NULL THEN abs(size - 5) END, n DESC, edge_count DESC, w.cluster_id LIMIT 1")
-def topk_best_corroboration(spark, sf):
-    _, links, found = _clusters(spark, sf)
-    return verdicts.best_corroboration(found, links).select("cluster_id", "case_type", "doc_count")
+_CLAIMED_ORDERS = f"{_edge_sql(ORDER_CLAIMS)}, {_CASES}, c AS (SELECT f.cluster_id, count(*) AS size, count(DISTINCT doc_id) AS doc_count FROM f GROUP BY f.cluster_id)"
 
 
-_CLAIMED_ORDERS = f"{_edge_sql(ORDER_CLAIMS)}, {_CASES}, c AS (SELECT f.cluster_id, count(*) AS size, count(DISTINCT doc_id) AS doc_count FROM f GROUP BY f.cluster_id)"
+@query("topk_best_corroboration", f"WITH {_CLAIMED_ORDERS}, k AS (SELECT cluster_id, count(*) AS n FROM e WHERE edge_type = 'corroborates' AND ad <> bd GROUP BY cluster_id) SELECT c.cluster_id, case_type, doc_count FROM c JOIN v ON v.cluster_id = c.cluster_id LEFT JOIN k ON k.cluster_id = c.cluster_id WHERE n IS NOT NULL OR case_type = 'corroborated' ORDER BY n IS NULL, doc_count DESC, CASE WHEN n IS NOT NULL THEN abs(size - 5) END, n DESC, edge_count DESC, c.cluster_id LIMIT 1")
+def topk_best_corroboration(spark, sf):
+    members = claims(spark, sf, ORDER_CLAIMS)
+    links = edges.cluster_edges(members)
+    base = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.count_distinct("doc_id").alias("doc_count"))
+    return verdicts.best_corroboration(base.join(verdicts.verdicts(members, links, True), "cluster_id"), links).select("cluster_id", "case_type", "doc_count")
 
 
 @query("topk_best_contradiction", f"WITH {_CLAIMED_ORDERS}, k AS (SELECT cluster_id, sum(CASE WHEN ta = tb THEN 10 ELSE 1 END) AS weight FROM e WHERE edge_type = 'contradicts' AND ad <> bd GROUP BY cluster_id) SELECT v.cluster_id, weight::BIGINT AS weight FROM v JOIN c ON c.cluster_id = v.cluster_id LEFT JOIN k ON k.cluster_id = v.cluster_id WHERE case_type = 'contradicted' ORDER BY coalesce(weight, 0) DESC, doc_count DESC, abs(size - 4), v.cluster_id LIMIT 1")
@@ -135,7 +137,7 @@ def topk_best_contradiction(spark, sf):
     members = claims(spark, sf, ORDER_CLAIMS)
     links = edges.cluster_edges(members)
     base = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"), F.count_distinct("doc_id").alias("doc_count"))
-    return verdicts.best_contradiction(base.join(verdicts.verdicts(members, links), "cluster_id"), links, members).select("cluster_id", "weight")
+    return verdicts.best_contradiction(base.join(verdicts.verdicts(members, links, True), "cluster_id"), links).select("cluster_id", "weight")
 
 
 @query("topk_best_reconciled", f"WITH {_FULL} SELECT cluster_id, replace(case_type, 'reconciled_', '') AS reconciliation_dimension FROM w WHERE starts_with(case_type, 'reconciled_') ORDER BY doc_count DESC, edge_count DESC, cluster_id LIMIT 1")
@@ -146,9 +148,7 @@ def topk_best_reconciled(spark, sf):
 @query("join_contradicts_without_supersedes", f"WITH {_edge_sql(NATION_CLAIMS)} SELECT src, tgt FROM e WHERE edge_type = 'contradicts' AND NOT EXISTS (SELECT 1 FROM e z WHERE z.edge_type = 'supersedes' AND least(z.src, z.tgt) = least(e.src, e.tgt) AND greatest(z.src, z.tgt) = greatest(e.src, e.tgt))")
 def join_contradicts_without_supersedes(spark, sf):
     links = edges.cluster_edges(claims(spark, sf, NATION_CLAIMS))
-    pair = edges.unordered(F.col("src"), F.col("tgt"))
-    over = links.where("edge_type = 'supersedes'").select(pair.alias("p"))
-    return links.where("edge_type = 'contradicts'").withColumn("p", pair).join(over, "p", "left_anti").select("src", "tgt")
+    return verdicts.unsuperseded(links).select("src", "tgt")
 
 
 _UNIT = "CASE c_custkey % 6 WHEN 0 THEN 'INR million' WHEN 1 THEN 'acres' WHEN 2 THEN 'USD' WHEN 3 THEN 'thousand bn' ELSE '' END"
@@ -160,15 +160,15 @@ _HITS = "list_filter([" + ", ".join(f"'{w}'" for w in LEAKED_SCALES) + "], lambd
  SELECT c_custkey, 1 AS rule FROM f WHERE bad UNION ALL SELECT c_custkey, 2 FROM f WHERE len({_HITS}) > 0
  UNION ALL SELECT c_custkey, 3 FROM f WHERE d = 'monetary' AND c_custkey % 2 = 0 AND abs(c_acctbal) > 100 UNION ALL SELECT c_custkey, 4 FROM f WHERE c_acctbal IS NOT NULL AND d IS NULL""")
 def fail_scan(spark, sf):
-    facts = rows(spark, sf, "customer", "c_custkey", "string(c_custkey) AS fact_id", "'d' AS doc_id", "0 AS page", "c_name AS subject", "'balance' AS predicate", f"{VALUE} AS value", f"{_UNIT} AS base_unit", f"{_KIND} AS dimension", "int(c_custkey % 2) * 3 AS scale", "c_acctbal AS numeric_value", "c_custkey % 7 <> 0 AS verified", "c_name AS evidence_quote")
+    facts = rows(spark, sf, "customer", "c_custkey", "string(c_custkey) AS fact_id", "int(c_custkey) AS fact_seq", "'d' AS doc_id", "0 AS page", "c_name AS subject", "'balance' AS predicate", f"{VALUE} AS value", f"{_UNIT} AS base_unit", f"{_KIND} AS dimension", "int(c_custkey % 2) * 3 AS scale", "c_acctbal AS numeric_value", "c_custkey % 7 <> 0 AS verified", "c_name AS evidence_quote")
     return failures.failures(facts).select(F.col("fact_id").cast("long").alias("c_custkey"), "rule")
 
 
-@query("clu_components", """WITH RECURSIVE n AS (SELECT DISTINCT c_nationkey AS x FROM customer), l AS (SELECT DISTINCT c.c_nationkey AS a, s.s_nationkey AS b FROM customer c JOIN supplier s ON c.c_custkey = s.s_suppkey AND s.s_suppkey % 4 = 0),
+@query("clu_components", """WITH RECURSIVE n AS (SELECT DISTINCT c_nationkey AS x FROM customer), l AS (SELECT DISTINCT c.c_nationkey AS a, s.s_nationkey AS b FROM customer c JOIN supplier s ON c.c_custkey = s.s_suppkey AND s.s_acctbal < 0),
  b AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT x, x AS y FROM n UNION SELECT r.x, b.b FROM r JOIN b ON b.a = r.y) SELECT x AS node, min(y) AS component FROM r GROUP BY x""")
 def clu_components(spark, sf):
     c = rows(spark, sf, "customer", "c_custkey", "c_nationkey AS a")
-    s = rows(spark, sf, "supplier", "s_suppkey", "s_nationkey AS b").where("s_suppkey % 4 = 0")
+    s = rows(spark, sf, "supplier", "s_suppkey", "s_nationkey AS b", "s_acctbal").where("s_acctbal < 0")
     links = c.join(s, F.col("c_custkey") == F.col("s_suppkey")).select("a", "b").distinct()
     return connected_components(c.select(F.col("a").alias("node")), links)
 

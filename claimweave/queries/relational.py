@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import clustering, credibility, edges, verdicts
+from ..operators import clustering, credibility, documents, edges, verdicts
 from ..operators.matching import term_matches
 from ..sources.derived import NATION_CLAIMS, ORDER_CLAIMS, REGION_CLAIMS, claims
+from ..sources import store
 from ..sources.files import ledger
 from .scalars import rows
 
@@ -46,18 +46,17 @@ def join_anchor_batches(spark, sf):
 
 @query("join_docs_facts", "SELECT c_custkey AS doc_id, count(o_orderkey) AS facts, count(o_orderkey) > 0 AS extracted FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def join_docs_facts(spark, sf):
-    facts = rows(spark, sf, "orders", "o_custkey AS doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return rows(spark, sf, "customer", "c_custkey AS doc_id").join(facts, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("facts"), F.col("n").isNotNull().alias("extracted"))
+    return store.with_extracted(rows(spark, sf, "customer", "c_custkey AS doc_id"), rows(spark, sf, "orders", "o_custkey AS doc_id")).select("doc_id", "facts", "extracted")
 
 
-_TERMS = "SELECT DISTINCT lower(p_type) AS t FROM part"
-_TOK = "list_distinct(list_filter(string_split_regex({0}, '[\\s_\\-]+'), lambda x: x <> ''))"
+_TERMS = "SELECT DISTINCT lower(concat(p_type, ' pre-', p_name)) AS t FROM part"
+_TOK = "list_distinct(list_filter(string_split_regex({0}, '\\s+'), lambda x: x <> ''))"
 
 
 @query("join_term_lexical", f"""WITH t AS (SELECT t, {_TOK.format('t')} AS w FROM ({_TERMS})), p AS (SELECT a.t AS a, b.t AS b, len(list_intersect(a.w, b.w)) AS n, least(len(a.w), len(b.w)) AS m, len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS u FROM t a JOIN t b ON a.t < b.t)
  SELECT a, b FROM p WHERE ((contains(a, b) OR contains(b, a)) AND least(len(a), len(b)) >= 4) OR (n > 0 AND (n / m >= 0.8 OR n / u >= 0.5))""")
 def join_term_lexical(spark, sf):
-    return term_matches(rows(spark, sf, "part", "p_type AS term"))
+    return term_matches(rows(spark, sf, "part", "concat(p_type, '_pre-', p_name) AS term"))
 
 
 _COS = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))"
@@ -99,8 +98,8 @@ def flt_ledger_search(spark, sf):
 
 @query("win_latest_report", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
 def win_latest_report(spark, sf):
-    """The latest of each customer: one aggregation, no sort of a partition."""
-    return rows(spark, sf, "orders", "o_custkey", "o_orderkey", "o_orderdate").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("o_orderkey"))
+    reports = rows(spark, sf, "orders", "o_custkey AS doc_id", "o_orderdate AS created_at", "o_orderkey AS total_facts")
+    return store.latest(reports).select(F.col("doc_id").alias("o_custkey"), F.col("total_facts").alias("o_orderkey"))
 
 
 @query("win_fact_index", "SELECT c_custkey, row_number() OVER (ORDER BY CAST(c_nationkey AS VARCHAR), c_custkey) - 1 AS ordinal FROM customer")
@@ -148,9 +147,9 @@ def agg_majority_outlier(spark, sf):
     return verdicts.outliers(members, 0.05, 0.85).select("cluster_id", "fact_id", F.round("majority_value", 2).alias("majority_value"), "outlier")
 
 
-@query("set_missing_docs", "SELECT c_custkey AS doc_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("set_missing_docs", "SELECT c_custkey AS doc_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def set_missing_docs(spark, sf):
-    return rows(spark, sf, "customer", "c_custkey AS doc_id").join(rows(spark, sf, "orders", "o_custkey AS doc_id").distinct(), "doc_id", "left_anti")
+    return store.without_facts(rows(spark, sf, "customer", "c_custkey AS doc_id"), rows(spark, sf, "orders", "o_custkey AS doc_id", "o_orderpriority").where("o_orderpriority = '1-URGENT'"))
 
 
 _EDGES = "SELECT l_orderkey AS c, least(l_partkey, l_suppkey) AS lo, greatest(l_partkey, l_suppkey) AS hi, l_returnflag AS kind, l_linenumber AS n FROM lineitem"
@@ -164,6 +163,4 @@ def set_edge_dedupe(spark, sf):
 
 @query("win_progress", "SELECT c_custkey, round(100.0 * sum(1) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) / count(*) OVER (PARTITION BY c_nationkey), 3)::DOUBLE AS percent FROM customer")
 def win_progress(spark, sf):
-    job = Window.partitionBy("c_nationkey")
-    done = F.sum(F.lit(1)).over(job.orderBy("c_custkey").rowsBetween(Window.unboundedPreceding, 0))
-    return rows(spark, sf, "customer", "c_custkey", "c_nationkey").select("c_custkey", F.round(100.0 * done / F.count(F.lit(1)).over(job), 3).alias("percent"))
+    return documents.progress(rows(spark, sf, "customer", "c_custkey", "c_nationkey"), "c_nationkey", "c_custkey").select("c_custkey", F.round("percent", 3).alias("percent"))

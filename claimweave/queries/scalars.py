@@ -212,14 +212,17 @@ def md_table(spark, sf):
     return df.select("n_nationkey", T.markdown(F.col("t"), F.col("n_regionkey")).alias("md"))
 
 
-_LABELS = {k: v[0] for k, v in display.DISPUTES.items()}
-_SEVERITY = {k: v[1] for k, v in display.DISPUTES.items()}
-_CODE = "CASE p_partkey % 13 " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(display.DISPUTES)) + " ELSE 'UNHEARD' END"
+# Written out, so that a wrong label is found.
+_SHOWN = """(VALUES (0, 'DISPUTE_GENUINE_CONFLICT', 'Genuine conflict', 'urgent'), (1, 'DISPUTE_SIGN_MISMATCH', 'Sign mismatch (profit vs loss)', 'urgent'), (2, 'DISPUTE_ORDER_OF_MAGNITUDE', 'Scale error (>10x discrepancy)', 'urgent'),
+ (3, 'DISPUTE_TEMPORAL_DRIFT', 'Different reporting period', 'moderate'), (4, 'DISPUTE_UNIT_MISMATCH', 'Unit or currency mismatch', 'moderate'), (5, 'DISPUTE_SCOPE_DIFFERENCE', 'Consolidated vs Standalone boundary', 'moderate'),
+ (6, 'DISPUTE_ACCOUNTING_BASIS', 'Accounting basis difference', 'moderate'), (7, 'DISPUTE_ROUNDING', 'Rounding variance (<1%)', 'neutral'), (8, 'AGREEMENT_EXACT', 'Exact numerical match', 'neutral'), (9, 'AGREEMENT_APPROXIMATE', 'Approximate match', 'neutral'),
+ (10, 'UNRESOLVED', 'Unresolved discrepancy', 'moderate'), (11, 'DISPUTE_CUSTOM', 'Domain-specific dispute', 'moderate'), (12, 'UNHEARD_of', 'Unheard Of', 'moderate'), (13, NULL, 'Uncategorized', 'neutral')) AS x(k, code, label, severity)"""
+_CODE = "CASE p_partkey % 14 " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate([*display.DISPUTES, "UNHEARD_of"])) + " END"
 
 
-@query("fn_dispute_label", f"SELECT p_partkey, coalesce({case('c', _LABELS)}, 'Unheard') AS label, coalesce({case('c', _SEVERITY)}, 'medium') AS severity FROM (SELECT p_partkey, {_CODE} AS c FROM part)")
+@query("fn_dispute_label", f"SELECT p_partkey, code, label, severity FROM part JOIN {_SHOWN} ON k = p_partkey % 14")
 def dispute_label(spark, sf):
-    return rows(spark, sf, "part", "p_partkey", f"{_CODE} AS c").select("p_partkey", display.dispute_label(F.col("c")).alias("label"), display.dispute_severity(F.col("c")).alias("severity"))
+    return rows(spark, sf, "part", "p_partkey", f"{_CODE} AS c").select("p_partkey", F.col("c").alias("code"), display.dispute_label(F.col("c")).alias("label"), display.dispute_severity(F.col("c")).alias("severity"))
 
 
 @query("fn_value_text", f"SELECT c_custkey, CASE WHEN u = '' OR contains(lower(v), lower(u)) THEN v ELSE concat_ws(' ', v, u) END AS shown FROM (SELECT c_custkey, {VALUE} AS v, CASE c_custkey % 3 WHEN 0 THEN 'million' WHEN 1 THEN 'USD' ELSE '' END AS u FROM customer)")

@@ -7,7 +7,7 @@ a session are all the state there is: opening a store again finds everything.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -20,11 +20,27 @@ _TABLES = {
     "reports": schemas.REPORT,
     "clusters": "graph_id string, cluster_id string, first_ordinal long, subject string, predicate string, case_type string, dispute_code string, size long, doc_count long, edge_count long, consensus_value string, explanation string, updated_at timestamp",
     "members": "graph_id string, cluster_id string, fact_id string, ordinal long, credibility double, updated_at timestamp",
-    "edges": "graph_id string, cluster_id string, src string, tgt string, edge_type string, detection_method string, confidence double, explanation string, edge_ordinal int, updated_at timestamp",
+    "edges": "graph_id string, cluster_id string, src string, tgt string, edge_type string, detection_method string, confidence double, explanation string, channel int, l_ordinal long, r_ordinal long, updated_at timestamp",
 }
 _PART = {"documents": "doc_id", "pages": "doc_id", "facts": "doc_id", "reports": "doc_id", "clusters": "graph_id", "members": "graph_id", "edges": "graph_id"}
 
 
+def with_extracted(documents: DataFrame, facts: DataFrame) -> DataFrame:
+    """Documents with whether they have facts, and how many."""
+    counts = facts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("facts"))
+    return documents.join(counts, "doc_id", "left").withColumns({"extracted": F.col("facts").isNotNull(), "facts": F.coalesce("facts", F.lit(0))})
+
+
+def without_facts(wanted: DataFrame, facts: DataFrame) -> DataFrame:
+    """Requested doc_ids without facts."""
+    return wanted.select("doc_id").distinct().join(facts.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def latest(reports: DataFrame) -> DataFrame:
+    """Each document's last report; of two at one time that of more facts.  One aggregation, no sort of a partition."""
+    return reports.groupBy("doc_id").agg(F.max_by(F.struct(*reports.columns), F.struct("created_at", "total_facts")).alias("r")).select("r.*")
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -48,8 +64,9 @@ class Store:
     def upsert(self, name: str, rows: DataFrame) -> None:
         """Replace the partitions that the rows belong to; all others stay."""
         part = _PART[name]
-        out = self._fit(name, rows).repartition(part)
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(f"{self.path}/{name}")
+        out = self._fit(name, rows)
+        # A partition that holds much, such as a whole graph, is written by many tasks; AQE splits what is skewed.
+        out.hint("rebalance", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(f"{self.path}/{name}")
 
     def append(self, name: str, rows: DataFrame) -> None:
         self._fit(name, rows).write.mode("append").partitionBy(_PART[name]).parquet(f"{self.path}/{name}")
@@ -66,8 +83,7 @@ class Store:
 
     def documents(self) -> DataFrame:
         """Documents, newest first, with whether their facts were extracted."""
-        done = self.table("facts").select("doc_id").distinct().withColumn("extracted", F.lit(True))
-        return self.table("documents").join(done, "doc_id", "left").withColumn("extracted", F.coalesce("extracted", F.lit(False))).orderBy(F.desc("created_at"), "doc_id")
+        return with_extracted(self.table("documents"), self.table("facts")).drop("facts").orderBy(F.desc("created_at"), "doc_id")
 
     def document(self, doc_id: str) -> DataFrame:
         return self.table("documents").where(F.col("doc_id") == doc_id)
@@ -83,8 +99,7 @@ class Store:
         return not self.table(name).where(key).limit(1).isEmpty()
 
     def missing(self, wanted: DataFrame) -> DataFrame:
-        """Requested doc_ids without facts."""
-        return wanted.select("doc_id").distinct().join(self.table("facts").select("doc_id").distinct(), "doc_id", "left_anti")
+        return without_facts(wanted, self.table("facts"))
 
     def delete(self, doc_id: str) -> bool:
         """A document with its pages, facts, and the reports that name it on either side."""
@@ -113,8 +128,7 @@ class Store:
         self.append("reports", rows.withColumn("created_at", F.coalesce("created_at", F.current_timestamp())) if "created_at" in rows.columns else rows.withColumn("created_at", F.current_timestamp()))
 
     def latest_reports(self) -> DataFrame:
-        last = Window.partitionBy("doc_id").orderBy(F.desc("created_at"), F.desc("total_facts"))
-        return self.table("reports").withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
+        return latest(self.table("reports"))
 
     def save_graph(self, graph, graph_id: str = "latest") -> None:
         for name, rows in (("clusters", graph.clusters), ("members", graph.members.join(graph.scores.withColumnRenamed("score", "credibility"), "fact_id", "left")), ("edges", graph.edges)):

@@ -84,6 +84,8 @@ def test_texts(spark):
 def test_display_and_vectors(spark):
     assert values(spark, ["net_profit"], "v string", display.metric_name(F.col("v"))) == ["Net Profit"]
     assert values(spark, [("5", "USD"), ("USD 5", "usd"), ("5", None)], "v string, u string", display.value_text(F.col("v"), F.col("u"))) == ["5 USD", "USD 5", "5"]
-    assert values(spark, ["ROUNDING", "odd_code"], "v string", display.dispute_label(F.col("v"))) == ["Rounding", "Odd Code"]
+    assert values(spark, ["DISPUTE_ROUNDING", "odd_code", None], "v string", display.dispute_label(F.col("v"))) == ["Rounding variance (<1%)", "Odd Code", "Uncategorized"]
+    assert values(spark, [1234567.0, 0.1, 1.255, -3.5], "v double", display.canonical_text(F.col("v"), F.lit("INR"))) == ["1,234,567 INR", "0.1 INR", "1.26 INR", "-3.5 INR"]
+    assert values(spark, [None], "v string", display.value_text(F.col("v"), F.lit("INR"))) == ["—"]
     got = values(spark, [([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>", vectors.cosine(F.col("a"), F.col("b")))
     assert got == [pytest.approx(0.70710678), 0.0]
