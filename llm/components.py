@@ -19,7 +19,10 @@ from .common import drop, written
 def split_join(many: DataFrame, one: DataFrame, key: str, counts: DataFrame, total: int, how: str = "inner") -> DataFrame:
     """many joined with the row that `one` has for its key; keys that over a thousandth of `total` rows share, by
     counts (key, n), are broadcast, a thousand rows at most by that bound."""
-    heavy = F.broadcast(counts.where(F.col("n") > max(1000, total // 1000)).select(key))
+    heavy = counts.where(F.col("n") > max(1000, total // 1000)).select(key)
+    if heavy.isEmpty():
+        return many.join(one, key, how)
+    heavy = F.broadcast(heavy)
     hot = many.join(F.broadcast(one.join(heavy, key, "left_semi")), key)
     return hot.unionByName(many.join(heavy, key, "left_anti").join(one, key, how))
 
