@@ -56,9 +56,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends here and survives a lost executor."""
+#: Short rows of a link table that one task should write.
+TASK_ROWS = 200_000
+
+
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends here and survives a lost executor.
+
+    With a bound on its rows, short ones, no more tasks write it than that asks for, but eight at least: a
+    shuffle is cut for the whole input, and a small table would be hundreds of files of a few rows.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if rows is not None and (tasks := max(8, -(-rows // TASK_ROWS))) < shuffle_partitions(df.sparkSession):
+        df = df.coalesce(tasks)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._llm_path = path

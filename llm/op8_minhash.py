@@ -293,13 +293,13 @@ def confirmed_links(members: DataFrame, held: DataFrame, percent: int, block: in
 def _large_groups(full: DataFrame, percent: int, block: int, weight: int) -> DataFrame:
     """Links of groups that do not fit into one block: (cid, gid, n_shingles, shingles), one row for each class."""
     members, bodies, task = full.drop("shingles"), full.select("cid", "shingles"), F.xxhash64("gid", "bi", "bj")
-    here, left, found = members, None, None
+    here, left, found, rows = members, None, None, members.count()
     for seed in range(1, 20):
-        mine = written(_own(_blocks(here, seed, block, weight)), "dealt")
+        mine = written(_own(_blocks(here, seed, block, weight)), "dealt", rows)
         more = _compared(mine.join(bodies, "cid"), task, percent)
         found = written(more if found is None else found.unionByName(more), "found")
         label = components(found).select(F.col("node").alias("cid"), "label")
-        told = written(members.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "told")
+        told = written(members.join(label, "cid", "left").withColumn("label", F.coalesce("label", "cid")), "told", rows)
         # One member of each component goes on; where that hardly makes them fewer, the last step finds the rest.
         here = told.where("cid = label").drop("label")
         before, left = left, here.count()
@@ -308,11 +308,11 @@ def _large_groups(full: DataFrame, percent: int, block: int, weight: int) -> Dat
     sizes = told.groupBy("gid", "label").agg(F.count(F.lit(1)).alias("k"))
     best = sizes.groupBy("gid").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
     counts = told.groupBy("gid").agg(F.count(F.lit(1)).alias("n"))
-    told = split_join(told, best, "gid", counts, members.count())
-    lone = written(_blocks(told.where("label <> main"), 30, block, weight), "lone")
+    told = written(split_join(told, best, "gid", counts, rows), "main", rows)
+    lone = written(_blocks(told.where("label <> main"), 30, block, weight), "lone", rows)
     if lone.isEmpty():
         return found
-    every = written(_blocks(told.join(F.broadcast(lone.select("gid").distinct()), "gid", "left_semi"), 31, block, weight), "every")
+    every = written(_blocks(told.join(F.broadcast(lone.select("gid").distinct()), "gid", "left_semi"), 31, block, weight), "every", rows)
     number = lambda df: F.broadcast(df.groupBy("gid").agg(F.first("parts").alias("others")))  # noqa: E731  a row for each group over a block
     side = lambda df, other, mine, its, mark: df.join(number(other), "gid").withColumn(its, F.explode(F.sequence(F.lit(0), F.col("others") - 1))).select("cid", "gid", F.col("block").alias(mine), its, F.lit(mark).alias("block"))
     both = side(lone, every, "bi", "bj", -1).unionByName(side(every, lone, "bj", "bi", -2))
