@@ -52,6 +52,8 @@ from .textscan import LOWER, U64, mix, pieces, span_hashes, text_bytes, windows,
 VALUES, CHUNKS, DISTANCE = 36, 9, 17
 #: Members of a block at most, and their shingles on average.
 BLOCK, SHINGLES = 1500, 2_000_000
+#: Members of candidate groups, nine numbers each, that may be sent to every executor: some 40 MB at most.
+FEW_MEMBERS = 250_000
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -281,7 +283,8 @@ def confirmed_links(members: DataFrame, held: DataFrame, percent: int, block: in
     """A forest of the confirmed links of all candidate groups: members (cid, of and check, rep, n_shingles, gid)."""
     dealt = written(_blocks(members, 0, block, weight), "members")
     one = held.select(F.col("doc_id").alias("rep_"), F.col("cid").alias("of_"), F.col("check").alias("check_"), "shingles")
-    full = dealt.join(one, (F.col("of") == F.col("of_")) & (F.col("check") == F.col("check_")) & F.col("rep").eqNullSafe(F.col("rep_")))
+    # Beyond the bound the join shuffles every document's shingles.
+    full = (F.broadcast(dealt) if dealt.count() <= FEW_MEMBERS else dealt).join(one, (F.col("of") == F.col("of_")) & (F.col("check") == F.col("check_")) & F.col("rep").eqNullSafe(F.col("rep_")))
     rows, shingles = dealt.where("parts = 1").agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     few = max(4, -(-rows // 2000), -(-shingles // weight))
     links = _compared(_own(full.where("parts = 1")), F.pmod(F.xxhash64("gid"), F.lit(few)), percent)
