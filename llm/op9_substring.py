@@ -28,14 +28,16 @@ name.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import GROUP_BYTES, load
-from .first_seen import ARROW_KEYS, KEYS, answer, by_range, covered, in_order, key_blocks, packed_bits, read_bits, runs, unpack_all
+from .first_seen import ARROW_KEYS, KEYS, answer, by_range, covered, in_order, key_blocks, packed_bits, read_bits, unpack_all
 from .textscan import U64, inside_rows, pair, pieces, span_hashes, text_bytes, windows, words
 
 K = 13
@@ -46,7 +48,7 @@ _WAY = np.dtype([("low", "<u4"), ("high", "<u2")])
 def _shared(blocks: list[bytes]) -> list[bytes]:
     """For each key a bit: another group has it."""
     keys, _, at = unpack_all(blocks)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ranked = keys[order]
     same = np.zeros(len(keys) + 1, bool)
     same[1:-1] = ranked[1:] == ranked[:-1]
@@ -59,7 +61,7 @@ def _branching(blocks: list[bytes]) -> list[bytes]:
     """For each node a bit: groups disagree on the way through it, or one has more than one, or an end."""
     keys, way, at = unpack_all(blocks, _WAY)
     way = way["low"].astype(U64) | way["high"].astype(U64) << U64(32)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     out = np.zeros(len(keys), bool)
     if len(keys):
         ranked, way = keys[order], way[order]
@@ -71,6 +73,17 @@ def _branching(blocks: list[bytes]) -> list[bytes]:
     return packed_bits(out, at)
 
 
+def row_runs(flags: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each run of true flags within a row, and the place behind its last; rows begin at `first`."""
+    begin, end = np.ones(len(flags), bool), np.ones(len(flags), bool)
+    begin[1:] = ~flags[:-1]
+    end[:-1] = ~flags[1:]
+    edge = first[:-1][first[:-1] < len(flags)]
+    begin[edge] = True
+    end[edge[edge > 0] - 1] = True
+    return np.flatnonzero(flags & begin), np.flatnonzero(flags & end) + 1
+
+
 class _Graph:
     """A group's words and edges in document order."""
 
@@ -90,16 +103,29 @@ class _Graph:
         self.rank = np.cumsum(step)  # rows of one doc_id share a rank; rows without one have their own
         self.where = np.flatnonzero(inside_rows(self.first, k)) if len(self.codes) >= k else np.zeros(0, np.int64)
         edges = windows(self.codes, k)[self.where]
-        order = np.argsort(edges, kind="stable")
+        order = np.argsort(edges)
         ranked = edges[order]
         new = np.ones(len(edges), bool)
         new[1:] = ranked[1:] != ranked[:-1]
-        begin = np.flatnonzero(new)
-        self.keys = ranked[begin]
+        self.keys = ranked[new]
+        number = np.cumsum(new) - 1
         self.inverse = np.empty(len(edges), np.int64)
-        self.inverse[order] = np.cumsum(new) - 1
-        last = np.append(begin[1:], len(edges))[: len(begin)] - 1
-        self.several = self.rank[self.row(self.where[order[begin]])] != self.rank[self.row(self.where[order[last]])]
+        self.inverse[order] = number
+        twin = np.flatnonzero(~new)  # equal to the one before in the sort's order
+        rank = np.repeat(self.rank, np.diff(self.first))
+        apart = rank[self.where[order[twin]]] != rank[self.where[order[twin - 1]]]
+        self.several = np.zeros(len(self.keys), bool)
+        self.several[number[twin[apart]]] = True
+        # How many gaps before each word are not a single space: where there are none, words stand joined in the text.
+        gap = np.ones(len(self.codes), bool)
+        gap[1:] = (self.start[1:] != self.end[:-1] + 1) | (self.raw[self.end[:-1]] != 0x20)
+        self.gaps = np.cumsum(gap, dtype=np.int32)
+        self.data = memoryview(self.raw)
+
+    def joined(self, a: int, b: int) -> bytes:
+        """Words a to b - 1 of one row, joined by one space."""
+        text = self.data[self.start[a] : self.end[b - 1]].tobytes()
+        return text if self.gaps[a] == self.gaps[b - 1] else b" ".join(text.split())
 
     def row(self, word: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, word, side="right") - 1
@@ -119,7 +145,7 @@ class _Graph:
         way = np.zeros(len(at), U64)
         way[inner] = (pair(self.codes[at[inner] - 1], self.codes[at[inner] + self.k - 1]) >> U64(16)) | U64(1)
         node = windows(self.codes, self.k - 1)[at]
-        order = np.argsort(node, kind="stable")
+        order = np.argsort(node)
         new = np.ones(len(node), bool)
         new[1:] = node[order[1:]] != node[order[:-1]]
         begin = np.flatnonzero(new)
@@ -138,8 +164,8 @@ class _Graph:
         begin = np.flatnonzero(ends[place])
         first = place[begin]
         last = first + np.diff(np.append(begin, len(place))) + self.k - 1
-        data = self.raw.tobytes()
-        names = [hashlib.blake2b(b" ".join(data[a:b].split()), digest_size=16).digest() for a, b in zip(self.start[first].tolist(), self.end[last - 1].tolist(), strict=True)]
+        spans = zip(self.start[first].tolist(), self.end[last - 1].tolist(), (self.gaps[first] == self.gaps[last - 1]).tolist(), strict=True)
+        names = [hashlib.blake2b(self.data[a:b] if plain else b" ".join(self.data[a:b].tobytes().split()), digest_size=16).digest() for a, b, plain in spans]
         return names, first, last, self.row(first)
 
 
@@ -171,9 +197,7 @@ def repeated_passages(docs: DataFrame, k: int = K, most: int = GROUP_BYTES) -> D
             return schema.empty_table()
         g = _Graph(table, k)
         names, first, _, row = compacted(g, replies)
-        one = {}
-        for j, name in enumerate(names):
-            one.setdefault(name, j)
+        one = dict(zip(reversed(names), range(len(names) - 1, -1, -1), strict=True))  # the first place of each
         at = np.fromiter(one.values(), np.int64, len(one))
         row, bid = row[at], table["bid"][0].as_py()
         return pa.table([pa.array(list(one), pa.binary()), pa.array(g.no_id[row].astype(np.int32)), pa.array(g.ids[row]), pa.array(np.full(len(at), bid, np.int32)), pa.array(g.rank[row]), pa.array(first[at] - g.first[row])], schema=schema)
@@ -183,35 +207,43 @@ def repeated_passages(docs: DataFrame, k: int = K, most: int = GROUP_BYTES) -> D
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", longs), ("paths", longs), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
         g = _Graph(table, k)
         names, first, last, row = compacted(g, replies)
-        number = lambda b: int.from_bytes(b, "big", signed=True)
-        source: dict[bytes, tuple] = {b[:16]: (-1, None if b[16] else number(b[17:25]), number(b[25:])) for b, level in zip(replies["block"].to_pylist(), replies["level"].to_pylist(), strict=True) if level == 2}
-        gone, found = np.zeros(len(names), bool), [[] for _ in range(len(g.table))]
-        for j, (name, a, b, r) in enumerate(zip(names, first.tolist(), last.tolist(), row.tolist(), strict=True)):
-            rank = int(g.rank[r])
-            own, doc, place = source.setdefault(name, (rank, None if g.no_id[r] else int(g.ids[r]), a - int(g.first[r])))
-            if own < rank:
-                gone[j] = True
-                found[r].append([a - int(g.first[r]), b - int(g.first[r]), doc, place])
+        back = text_bytes(replies["block"].filter(pa.compute.equal(replies["level"], 2)))[0].reshape(-1, 33)
+        number = lambda c: np.ascontiguousarray(back[:, c : c + 8]).view(">i8").ravel().tolist()
+        digests = back[:, :16].tobytes()
+        source: dict[bytes, tuple] = {digests[16 * j : 16 * j + 16]: (-1, None if none else doc, place) for j, (none, doc, place) in enumerate(zip(back[:, 16].tolist(), number(17), number(25), strict=True))}
+        gone, found = [], [[] for _ in range(len(g.table))]
+        base = g.first[row]
+        for j, (name, own, none, doc, a, b, r) in enumerate(zip(names, *(x.tolist() for x in (g.rank[row], g.no_id[row], g.ids[row], first - base, last - base, row)), strict=True)):
+            s = source.get(name)
+            if s is None:
+                source[name] = (own, None if none else doc, a)
+            elif s[0] < own:
+                gone.append(j)
+                found[r].append([a, b, s[1], s[2]])
         hidden = covered(first[gone], last[gone], len(g.codes))
-        out = {c: [] for c in ("n_removed", "spans", "paths", "kept_text", "kept_sha256")}
-        for r, text in enumerate(g.table["text"]):
-            mask = hidden[g.first[r] : g.first[r + 1]]
-            got, spans = text.as_buffer().to_pybytes().split(), []
-            if mask.any():
-                spans = [[int(s), int(e)] for s, e in zip(*runs(mask), strict=True)]
-                got = [got[i] for i in np.flatnonzero(~mask)]
-            kept = b" ".join(got)
-            for c, v in zip(out, (int(mask.sum()), spans, found[r], kept.decode(), hashlib.sha256(kept).hexdigest()), strict=True):
-                out[c].append(v)
+        begins, ends = row_runs(hidden, g.first)
+        removed = np.diff(np.concatenate([[0], np.cumsum(hidden)])[g.first])
+        at = np.searchsorted(begins, g.first).tolist()
+        begins, ends = begins.tolist(), ends.tolist()
+        out = {"n_removed": removed, "spans": [], "paths": found, "kept_text": [], "kept_sha256": []}
+        for r, (low, high) in enumerate(itertools.pairwise(g.first.tolist())):
+            spans = list(zip(begins[at[r] : at[r + 1]], ends[at[r] : at[r + 1]], strict=True))
+            left = zip([low, *(e for _, e in spans)], [*(b for b, _ in spans), high], strict=True)
+            kept = b" ".join(g.joined(a, b) for a, b in left if a < b)
+            out["spans"].append([[b - low, e - low] for b, e in spans])
+            out["kept_text"].append(kept.decode())
+            out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
         return pa.table({"doc_id": g.table["doc_id"], "n_words": pa.array(np.diff(g.first)), **out}, schema=schema)
 
     texts = dealt.groupBy("bid")
     edges = answer(texts.applyInArrow(send, KEYS), _shared, n)
     nodes = answer(texts.cogroup(edges.groupBy("bid")).applyInArrow(send_nodes, KEYS), _branching, n)
     known = edges.unionByName(nodes)
+    # Both sides of the join read all columns of the paths, so that one exchange serves both and paths are made once.
     paths = texts.cogroup(known.groupBy("bid")).applyInArrow(send_paths, "path binary, no_id int, id long, bid int, rank long, place long").repartition(n, "path")
-    sources = paths.groupBy("path").agg(F.min(F.struct("no_id", "id", "bid", "rank", "place")).alias("s"))
-    earlier = (F.col("s.no_id") < F.col("no_id")) | ((F.col("no_id") == 0) & (F.col("s.id") < F.col("id"))) | ((F.col("no_id") == 1) & (F.struct("s.bid", "s.rank") < F.struct("bid", "rank")))
+    own = F.struct("no_id", "id", "bid", "rank", "place")
+    sources = paths.groupBy("path").agg(F.min(own).alias("s"))
+    earlier = (F.col("s") < own) & ((F.col("no_id") == 1) | (F.col("s.id") < F.col("id")))
     wide = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
     block = F.concat("path", F.unhex(F.lpad(F.hex("s.no_id"), 2, "0")), wide("s.id"), wide("s.place"))
     back = paths.join(sources, "path").where(earlier).select("bid", F.lit(0).alias("bucket"), F.lit(2).alias("level"), block.alias("block"))

@@ -42,6 +42,52 @@ def test_spans_name_their_sources(spark):
         assert got[4].n_removed == 50 and {p[2] for p in got[4].paths} == {1, 2, 3}
 
 
+def test_op9_makes_paths_once(spark):
+    """The paths' two readers, the sum and the join, share one exchange: three scans with replies (nodes, paths, result), none twice."""
+    from llm.op9_substring import repeated_passages
+
+    rnd = random.Random(7)
+    x = c.prose(rnd, 30)
+    df = repeated_passages(spark.createDataFrame([(k, f"{c.prose(rnd, 9)} {x}") for k in range(6)], "doc_id long, text string").repartition(2), most=300)
+    assert sum(r.n_removed for r in df.collect()) == 150
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FlatMapCoGroupsInArrow") == 3
+
+
+def test_op9_any_blanks(spark):
+    """Words are compared and kept whatever separates them; rows without an id and repeated ids, in one group and in many."""
+    from hashlib import sha256
+
+    from llm.op9_substring import repeated_passages
+
+    rnd = random.Random(11)
+    stock = [c.prose(rnd, 20).split() for _ in range(5)]
+
+    def spaced(ws):
+        return "".join(w + rnd.choice([" ", " ", " ", "\n", "\t ", "  ", "\r\n", "\x0b\x0c"]) for w in ws)
+
+    docs = [(None if k % 9 == 8 else k - k % 4 // 3, rnd.choice(["", " ", "\n"]) + spaced(c.prose(rnd, rnd.randint(0, 15)).split() + rnd.choice(stock)[rnd.randint(0, 4) :] + rnd.choice(stock))) for k in range(36)]
+    docs += [(50, ""), (51, None), (52, " \n"), (53, " ".join(stock[0] + stock[1])), (54, " ".join(stock[0][:12])), (55, "\t".join(stock[2]))]
+    first = {}
+    for i, t in sorted((d for d in docs if d[0] is not None), key=lambda d: d[0]):
+        w = (t or "").split()
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    want = []
+    for i, t in docs:
+        if i is not None:
+            w = (t or "").split()
+            gone = {k + j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(13)}
+            want.append((i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    results = [repeated_passages(frame, most=most).collect() for most in (1 << 24, 200)]
+    for rows in results:
+        assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in rows if r.doc_id is not None) == sorted(want)
+        assert all(sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 and sum(e - b for b, e in r.spans) == r.n_removed for r in rows)
+    one, many = (sorted((r.n_words, r.spans, r.kept_text) for r in rows if r.doc_id is None) for rows in results)
+    assert one == many and len(one) == 4 and sum(len(x[1]) for x in one)
+
+
 def test_groups_of_any_size_agree(spark):
     """Frames without statistics; from one group to one for each document; an id that many rows share is spread."""
     from llm.first_seen import by_range
