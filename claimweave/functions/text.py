@@ -13,6 +13,22 @@ def normal_space(text: Column) -> Column:
     return F.lower(F.btrim(F.regexp_replace(text, r"(?U)\s+", " ")))
 
 
+def simple_lower(text: Column) -> Column:
+    """Lower case letter by letter: one letter for one, whatever stands around it, as SQL engines do it."""
+    return F.lower(F.replace(F.replace(text, F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ")))
+
+
+def simple_upper(text: Column) -> Column:
+    """Upper case letter by letter; a letter whose capital would be more than one, as that of ß, stays."""
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)), "")
+
+
+def plain_space(text: Column) -> Column:
+    """As `normal_space`, but within a text only blanks, tabs and line ends are white space, and case goes letter by letter."""
+    spaces = F.regexp_replace(text, r"[\t\n\f\r ]+", " ")
+    return simple_lower(F.regexp_replace(spaces, r"^\p{Zs}+|\p{Zs}+$", ""))
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 

@@ -22,3 +22,20 @@ def test_exact_pairs_of_one_cluster_are_many_tasks_and_the_same(spark):
     assert plain.exceptAll(found.select("src", "tgt")).isEmpty()
     most = max(r["count"] for r in found.groupBy("task").count().collect())
     assert most < 0.75 * found.count()
+
+
+def test_quotes_compare_letter_by_letter_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from claimweave import queries
+
+    pages = [(1, "vor der STRASSE"), (2, "vor  der\tStraße"), (3, "Vor der Straße."), (4, "vor\u00a0der Straße"), (5, "vor\x0bder Straße"), (6, "ΟΔΟΣ in ŉ ﬁx İX"), (7, "οδοσ in ŉ ﬁx ix"), (8, "οδος in ŉ ﬁx ix"), (9, "\u00a0vor der straẞe"), (10, None), (11, "a\u2003b c")]
+    spark.createDataFrame([(k, t, "src1") for k, t in pages], "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    quotes = [(1, "vor der Straße"), (21, " vor\n der straße "), (41, "Οδος in ŉ ﬁx ix"), (61, ""), (81, "οδοσ in ŉ"), (101, "a b"), (121, None), (141, "\u00a0vor"), (161, "ıx"), (181, "İx")]
+    spark.createDataFrame(quotes, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(db.execute(queries.oracle_sql()["join_quote_normalized"]).fetchall())
+    assert len(want) > 20
+    assert sorted(map(tuple, queries.queries()["join_quote_normalized"](spark, str(tmp_path)).collect())) == want
