@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import vectors
 from ..operators import clustering, credibility, documents, edges, verdicts
-from ..operators.matching import term_matches
+from ..operators.matching import close_vectors, term_matches
 from ..sources.derived import NATION_CLAIMS, ORDER_CLAIMS, REGION_CLAIMS, claims
 from ..sources import store
 from ..sources.files import ledger
@@ -65,12 +64,9 @@ _NORM = "sqrt(list_sum(list_transform({0}.embedding, lambda x: x::DOUBLE * x::DO
 
 @query("join_cosine", f"SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round({_COS} / ({_NORM.format('a')} * {_NORM.format('b')}), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id WHERE {_COS} / ({_NORM.format('a')} * {_NORM.format('b')}) >= 0.3")
 def join_cosine(spark, sf):
-    """Every twentieth vector against all: a stated query set; norms are taken once for each vector."""
-    v = rows(spark, sf, "embeddings", "vec_id", "embedding").withColumn("n", vectors.norm(F.col("embedding")))
-    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"), F.col("n").alias("m"))
-    size = F.col("n") * F.col("m")
-    cosine = F.when(size > 0, vectors.dot(F.col("e"), F.col("embedding")) / F.when(size > 0, size)).otherwise(0.0)
-    return v.join(asked, F.col("vec_id") != F.col("query_id")).withColumn("c", cosine).where("c >= 0.3").select("query_id", "vec_id", F.round("c", 5).alias("cosine"))
+    """Every twentieth vector against all: a stated query set."""
+    v = rows(spark, sf, "embeddings", "vec_id", "embedding")
+    return close_vectors(v.where("vec_id % 20 = 0"), v, 0.3).select("query_id", "vec_id", F.round("cosine", 5).alias("cosine"))
 
 
 _WORDS = "list_transform(list_distinct(string_split_regex(text, '\\s+')), lambda w: regexp_replace(lower(w), '[^\\p{L}\\p{N}.%]', '', 'g'))"

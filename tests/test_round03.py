@@ -39,3 +39,32 @@ def test_quotes_compare_letter_by_letter_as_in_sql(spark, tmp_path):
     want = sorted(db.execute(queries.oracle_sql()["join_quote_normalized"]).fetchall())
     assert len(want) > 20
     assert sorted(map(tuple, queries.queries()["join_quote_normalized"](spark, str(tmp_path)).collect())) == want
+
+
+def test_close_vectors_in_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    import math
+
+    import numpy as np
+
+    from claimweave.operators import matching
+
+    monkeypatch.setattr(matching, "ASKED", 3)
+    monkeypatch.setattr(matching, "HELD", 7)
+    made = np.random.default_rng(3).standard_normal((60, 5)).tolist()
+    made[4], made[8], made[9], made[12] = [0.0] * 5, made[16], [1.0, None, 2.0, 0.0, 1.0], [1.0, 2.0, 0.5]
+    rows = [*enumerate(made), (None, [1.0] * 5), (77, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = matching.close_vectors(v.where("vec_id % 4 = 0"), v, 0.3)
+    plan = found._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    full = {k: [x or 0.0 for x in e] + [0.0] * (5 - len(e)) for k, e in rows if k is not None and e is not None}
+    want = {}
+    for a in (k for k in full if k % 4 == 0):
+        for b in full:
+            size = math.sqrt(sum(x * x for x in full[a])) * math.sqrt(sum(x * x for x in full[b]))
+            cosine = sum(x * y for x, y in zip(full[a], full[b], strict=True)) / size if size else 0.0
+            if a != b and cosine >= 0.3:
+                want[a, b] = cosine
+    got = found.collect()
+    assert len(got) == len(want) > 100
+    assert all(math.isclose(r.cosine, want[r.query_id, r.vec_id], rel_tol=1e-12) for r in got)
