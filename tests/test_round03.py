@@ -68,3 +68,18 @@ def test_close_vectors_in_blocks_are_those_of_all_pairs(spark, monkeypatch):
     got = found.collect()
     assert len(got) == len(want) > 100
     assert all(math.isclose(r.cosine, want[r.query_id, r.vec_id], rel_tol=1e-12) for r in got)
+
+
+def test_contradictions_are_counted_by_kinds_as_one_by_one(spark):
+    rows = [
+        {
+            "doc_id": "ab"[k % 2], "subject": ("Acme", "Acme Limited", "Zeta")[k % 3], "predicate": ("revenue", "total_revenue", "net_profit")[k % 5 % 3], "value": str(k % 6), "temporal": ("FY2022", "FY 2022", None, "FY2023")[k % 4],
+            "canonical_value": (0.0, -0.0, 100.0, 100.001, None, float("nan"), 7.0)[k % 7], "conditions": (None, "basic", "Basic ", "diluted", "adjusted")[k // 7 % 5],
+        }
+        for k in range(240)
+    ]
+    every = facts(spark, rows)
+    want = {r.edge_type: r.n for r in edges.edge_counts(edges.detect_contradictions(every)).collect()}
+    assert len(want) == 3
+    assert {r.edge_type: r.n for r in edges.contradiction_counts(every).collect()} == want
+    assert edges.contradiction_counts(every.where("doc_id = 'none'")).isEmpty()
