@@ -106,8 +106,7 @@ def win_fact_index(spark, sf):
 
 @query("win_consensus", f"WITH f AS ({ORDER_CLAIMS}) SELECT cluster_id, fact_id AS consensus_fact FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY confidence * 0.75 DESC, ordinal) AS n FROM f) WHERE n = 1")
 def win_consensus(spark, sf):
-    members = claims(spark, sf, ORDER_CLAIMS)
-    return credibility.consensus(members, credibility.initial(members)).select("cluster_id", "consensus_fact")
+    return credibility.consensus(credibility.started(claims(spark, sf, ORDER_CLAIMS))).select("cluster_id", "consensus_fact")
 
 
 @query("win_rank_confidence", f"{_RANKED} SELECT cluster_id, fact_id, rn AS rank FROM s")

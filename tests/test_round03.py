@@ -83,3 +83,10 @@ def test_contradictions_are_counted_by_kinds_as_one_by_one(spark):
     assert len(want) == 3
     assert {r.edge_type: r.n for r in edges.contradiction_counts(every).collect()} == want
     assert edges.contradiction_counts(every.where("doc_id = 'none'")).isEmpty()
+
+
+def test_claims_are_made_once(spark):
+    from claimweave import queries
+
+    plan = queries.queries()["win_consensus"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lineitem.parquet") <= 1 and plan.count("Join") == 1
