@@ -32,7 +32,8 @@ def period_key(text: Column) -> Column:
         .when(short != "", F.concat(F.lit("fy"), year(short, 1999), F.lit("-"), short))
         .when(long != "", F.concat(F.lit("fy"), year(long, -1), F.lit("-"), F.right(long, F.lit(2))))
     )
-    return F.when(text != "", F.when(base.isNotNull(), F.concat_ws(" ", base, part)).otherwise(s))
+    # Named once: a branch's test and value would each search the text again.
+    return F.when(text != "", F.coalesce(F.concat(base, F.coalesce(F.concat(F.lit(" "), part), F.lit(""))), s))
 
 
 def same_period(a: Column, b: Column, key_a: Column | None = None, key_b: Column | None = None) -> Column:
